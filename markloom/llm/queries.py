@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, neardup, packing, quality
+from . import bpe, langid, neardup, packing, quality
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -31,5 +35,5 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_quality_rules, op8_packing, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_quality_rules, op7_language_id, op8_packing, op10_bpe_round_trip)}
 ORACLES: dict[str, str] = {}
