@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, neardup, packing, quality
+from . import bpe, html_text, langid, neardup, packing, quality
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -35,5 +39,5 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_quality_rules, op7_language_id, op8_packing, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_html_extraction, op4_quality_rules, op7_language_id, op8_packing, op10_bpe_round_trip)}
 ORACLES: dict[str, str] = {}
