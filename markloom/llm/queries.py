@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, langid, neardup, packing, quality
+from . import bpe, html_text, langid, neardup, packing, quality, warc
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -39,5 +43,5 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_html_extraction, op4_quality_rules, op7_language_id, op8_packing, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_html_extraction, op4_quality_rules, op5_warc, op7_language_id, op8_packing, op10_bpe_round_trip)}
 ORACLES: dict[str, str] = {}
