@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, langid, neardup, packing, quality, warc
+from . import bpe, html_text, langid, media, neardup, packing, quality, warc
 from .common import table
 
 
@@ -39,9 +39,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_round_trip(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_html_extraction, op4_quality_rules, op5_warc, op7_language_id, op8_packing, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_html_extraction, op4_quality_rules, op5_warc, op7_language_id, op8_packing, op9_media_chunks, op10_bpe_round_trip)}
 ORACLES: dict[str, str] = {}
