@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, langid, media, neardup, packing, quality, warc
+from . import bpe, html_text, langid, media, neardup, packing, pii, quality, warc
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_html_extraction, op4_quality_rules, op5_warc, op7_language_id, op8_packing, op9_media_chunks, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_html_extraction, op4_quality_rules, op5_warc, op6_pii, op7_language_id, op8_packing, op9_media_chunks, op10_bpe_round_trip)}
 ORACLES: dict[str, str] = {}
