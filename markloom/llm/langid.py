@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS, ROW_CHARS, SAMPLE_CHARS, LANGUAGES, SEGMENT = 120, 1000, 50_000, 100, 256
-UNKNOWN = "und"
+UNKNOWN, MIN_SCORE = "und", 0.01
 PAD, OTHER, BLANK = 0, 1, 2
 NEW_PHRASE = 1 << 30
 
@@ -221,3 +221,17 @@ def identify(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: st
     """Train on the rows not held out, predict all: id, held_out, lang_pred, score."""
     model = train(df, ~held_out(id_col), text, lang, id_col)
     return predict(df, model, id_col, text).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(df: DataFrame, model: Model, text: str = "text", least_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``df`` whose text has a language, with a score of ``least_score`` or more, as they are."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                named, score = shared.value.predict(batch.column(at).to_pylist())
+                yield batch.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(named, score, strict=True)]))
+
+    return df.mapInArrow(run, df.schema)

@@ -169,3 +169,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
     out = rows.select("id", "n", "set_key").join(least, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+    """The rows of ``df`` that stay: one for each component, the one with the smallest id, and of rows with equal ids one.
+
+    Rows without an id can't be told apart by one and stay as they are.
+    """
+    kept = near_duplicates(df.filter(F.col(id_col).isNotNull()), id_col, text, percent).filter("kept").select(id_col)
+    first = df.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return first.unionByName(df.filter(F.col(id_col).isNull()))

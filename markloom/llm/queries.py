@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, langid, media, neardup, packing, pii, quality, warc
+from . import bpe, html_text, langid, licenses, media, neardup, packing, pii, quality, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_html_extraction, op4_quality_rules, op5_warc, op6_pii, op7_language_id, op8_packing, op9_media_chunks, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_html_extraction, op4_quality_rules, op5_warc, op6_pii, op7_language_id, op8_packing, op9_media_chunks, op10_bpe_round_trip)}
 ORACLES: dict[str, str] = {}
