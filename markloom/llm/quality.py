@@ -164,6 +164,6 @@ def judge(df: DataFrame, id_col: str = "doc_id", text: str = "text", rules: tupl
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``df`` that pass, with their own columns only."""
     base, broken = verdict(rules)
-    # the id, being nondeterministic, keeps the filter above the projections: pushed down, it would repeat their work per word
+    # the id, being nondeterministic and used, keeps the filter above the projections: pushed down, it would repeat their work per word
     out = measured(df, text).withColumns({P + "base": base, P + "broken": broken, P + "row": F.monotonically_increasing_id()})
-    return out.filter(~F.col(P + "base") & (F.size(P + "broken") == 0)).select(*(F.col(f"`{x}`") for x in df.columns))
+    return out.filter((F.col(P + "row") >= 0) & ~F.col(P + "base") & (F.size(P + "broken") == 0)).select(*(F.col(f"`{x}`") for x in df.columns))
