@@ -218,3 +218,71 @@ def multi_selector_matches(spark, sf_dir):
     found = R.select(pages(spark, sf_dir), list(_SEVEN), ID, columns=())
     names = F.element_at(F.array(*map(F.lit, _SEVEN)), F.col("match_id") + 1)
     return found.groupBy(names.alias("selector")).agg(F.count("*").alias("n"))
+
+
+# -- rewrites
+
+from ..operators.rewriter import Rewriting, Rule, rewrite  # noqa: E402
+
+
+def _rewritten(*rules: Rule):
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rewrite(pages(spark, sf_dir), list(rules), ID).select(ID, "html_out")
+
+    return f
+
+
+#: Name: rules, SQL of the output.
+REWRITES = {
+    "identity": ((), "html"),
+    "rewrite_https": ((Rule("a", "set_attribute", "https://x/", name="href", replace_prefix="/"),), "regexp_replace(html, '<a href=\"/', '<a href=\"https://x/', 'g')"),
+    "defer_scripts": ((Rule("script", "set_attribute", "", name="defer"),), "replace(html, '<script>', '<script defer=\"\">')"),
+    "strip_scripts": ((Rule("script", "remove"),), "regexp_replace(html, '<script>.*?</script>', '')"),
+    "strip_comments": ((Rule("*", "remove", target="comments"),), "regexp_replace(html, '<!--.*?-->', '', 'g')"),
+    "strip_ads": ((Rule("div.ad", "remove"),), "regexp_replace(html, '<div class=\"ad\">[^<]*</div>', '')"),
+    "unwrap_b": ((Rule("b", "remove_and_keep_content"),), "replace(replace(html, '<b>', ''), '</article>', '')"),
+    "set_title": ((Rule("title", "set_inner_content", "A & B"),), "regexp_replace(html, '<title>[^<]*</title>', '<title>A &amp; B</title>')"),
+    "append_footer": ((Rule("footer", "append", "<hr>", html=True),), "replace(html, '</footer>', '<hr></footer>')"),
+    "prepend_nav": ((Rule("nav", "prepend", "x < y"),), "replace(html, '<nav>', '<nav>x &lt; y')"),
+    "before_h1": ((Rule("h1", "before", "<hr>", html=True),), "replace(html, '<h1>', '<hr><h1>')"),
+    "after_article": ((Rule("article", "after", "<hr>", html=True),), "replace(html, '</article>', '</article><hr>')"),
+    "replace_ad": ((Rule("div.ad", "replace", "<i></i>", html=True),), "regexp_replace(html, '<div class=\"ad\">[^<]*</div>', '<i></i>')"),
+    "set_attr_target": ((Rule("a[href]", "set_attribute", "_blank", name="target"),), "regexp_replace(html, '(<a href=\"[^\"]*\")', '\\1 target=\"_blank\"', 'g')"),
+    "remove_attr_class": ((Rule("[class]", "remove_attribute", name="class"),), "replace(html, '<div class=\"ad\">', '<div>')"),
+    "rename_h1": ((Rule("h1", "set_tag_name", "h2"),), "replace(replace(html, '<h1>', '<h2>'), '</h1>', '</h2>')"),
+    "empty_ul": ((Rule("ul", "set_inner_content", ""),), "regexp_replace(html, '<ul>.*?</ul>', '<ul></ul>', 'g')"),
+}
+for _name, (_rules, _sql) in REWRITES.items():
+    QUERIES[f"rewrite_{_name}".replace("rewrite_rewrite_", "rewrite_")] = _rewritten(*_rules)
+    ORACLES[f"rewrite_{_name}".replace("rewrite_rewrite_", "rewrite_")] = f"SELECT page_id, {_sql} AS html_out FROM pages"
+
+
+def _end_note() -> Rewriting:
+    return Rewriting().on_document(end=lambda e: e.append("<!-- end -->", html=True))
+
+
+@query("SELECT page_id, html || '<!-- end -->' AS html_out FROM pages")
+def doc_end_append(spark, sf_dir):
+    return rewrite(pages(spark, sf_dir), _end_note, ID).select(ID, "html_out")
+
+
+def _numbered_links() -> Rewriting:
+    n = 0
+
+    def link(el) -> None:
+        nonlocal n
+        n += 1
+        el.set_attribute("data-n", str(n))
+
+    return Rewriting().on("nav a", element=link)
+
+
+@query()
+def callback_numbered_links(spark, sf_dir):
+    return rewrite(pages(spark, sf_dir), _numbered_links, ID).select(ID, "html_out")
+
+
+@query("SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS body, replace(html, '\"', '&quot;') AS attribute FROM pages")
+def escapes(spark, sf_dir):
+    body = F.replace(F.replace(F.replace("html", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return pages(spark, sf_dir).select(ID, body.alias("body"), F.replace("html", F.lit('"'), F.lit("&quot;")).alias("attribute"))
