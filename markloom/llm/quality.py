@@ -150,12 +150,12 @@ def judge(df: DataFrame, id_col: str = "doc_id", text: str = "text", rules: tupl
     base, broken = verdict(rules)
     return (
         measured(df.select(id_col, text), text)
-        .withColumns({P + "base": base, P + "broken": broken})
+        .withColumns({P + "base": base, P + "broken": broken, P + "row": F.monotonically_increasing_id()})
         .select(
             id_col,
             *(F.col(P + k).alias(k) for k in COUNTS),
             F.col(P + "base").alias("base_failed"),
-            (~F.col(P + "base") & (F.size(P + "broken") == 0)).alias("kept"),
+            ((F.col(P + "row") >= 0) & ~F.col(P + "base") & (F.size(P + "broken") == 0)).alias("kept"),
             F.array_join(P + "broken", ",").alias("broken_rules"),
         )
     )
