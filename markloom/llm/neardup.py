@@ -7,7 +7,8 @@
 4. Pairs are checked on signatures, then on full sets. The links' components come from alternating stars.
 5. Buckets that still hold several components are gone through again: their members outside the bucket's largest
    component meet the members of other components. So each pair of a bucket is either joined already or compared, and no
-   link between different texts is lost, while a large group of near copies never meets itself.
+   link between different texts is lost, while a large group of near copies never meets itself. A bucket is dealt to
+   tiles of about TILE shingles, in which overlaps are counted on full sets; only links leave a tile, never pairs.
 At the threshold a link is missed by all bands with probability (1 - 0.85^6)^28, about 2e-6, and by the signature check
 with 3e-8. Stages are written to the shared folder; nothing that grows is collected or broadcast.
 
@@ -32,6 +33,8 @@ from .components import components
 from .shingles import mix, shingle_set
 
 BANDS, ROWS, SIGNATURE = 28, 6, 128
+#: Shingles of a tile, about; candidate ids that are broadcast at most (about 64 MB as a hashed table), else joined by a shuffle.
+TILE, BROADCAST = 1_000_000, 1_000_000
 #: Least share of equal minima in the signatures of a pair that is compared in full: the threshold less 5.4 deviations.
 SCREEN = 0.68
 _rng = np.random.default_rng(20240117)
@@ -110,6 +113,38 @@ def _linked(percent: int):
     return run
 
 
+def _across(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """(id, c, rest, shingles) of a tile: links between rows of ``rest`` and others of different components.
+
+        The shingles are numbered within the tile; for each row of ``rest``, one lookup counts its overlap with all others
+        at once. Of its links to one component, one is enough.
+        """
+        rest = np.asarray(table.column("rest").to_pylist(), bool)
+        ids, comps = table.column("id"), np.asarray(table.column("c").to_pylist())
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+        sizes = np.array([len(x) for x in sets])
+        used, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = sizes.cumsum()
+        mark = np.zeros(len(used), bool)
+        others = np.flatnonzero(~rest)
+        columns = np.concatenate([codes[ends[k] - sizes[k] : ends[k]] for k in others]) if len(others) else codes[:0]
+        starts = np.concatenate(([0], sizes[others].cumsum()[:-1])) if len(others) else others
+        u, v = [], []
+        for k in np.flatnonzero(rest) if len(others) else ():
+            own = codes[ends[k] - sizes[k] : ends[k]]
+            mark[own] = True
+            both = np.add.reduceat(mark[columns], starts, dtype=np.int64)
+            mark[own] = False
+            ok = (100 * both >= percent * (sizes[others] + sizes[k] - both)) & (comps[others] != comps[k])
+            _, first = np.unique(comps[others[ok]], return_index=True)
+            for j in others[ok][first]:
+                u.append(k), v.append(int(j))
+        return pa.table({"u": ids.take(pa.array(u, pa.int64())), "v": ids.take(pa.array(v, pa.int64()))})
+
+    return run
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 85, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``df``: id, n_shingles, component_id, kept.
 
@@ -130,7 +165,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
     banded = reps.select("id", "n", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("m")).filter("m > 1").select("key", "hub")
     members = scratch.write(banded.join(buckets, "key"), "members")
-    nodes = members.select("id").distinct()
+    nodes = scratch.write(members.select("id").distinct(), "nodes")
+    if nodes.count() <= BROADCAST:
+        nodes = F.broadcast(nodes)
     full = scratch.write(texts.join(nodes, "id", "left_semi").mapInArrow(_full_sets, f"id {idt}, shingles binary"), "sets")
     sig = reps.select("id", "sig")
 
@@ -148,19 +185,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
 
     placed = members.join(first.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").select("key", "id", "n", F.coalesce("c", "id").alias("c"))
     placed = scratch.write(placed, "placed")
-    counts = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
-    mixed = counts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("c", "m").alias("top")).filter("parts > 1").select("key", "top")
+    counts = placed.groupBy("key", "c").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    mixed = counts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("c", "m").alias("top"), F.sum("n").alias("all_n"), F.max_by("n", "m").alias("top_n"))
+    tiles, chunks = (F.ceil(x / TILE).cast("int") for x in (F.col("all_n"), F.greatest(F.lit(1), F.col("all_n") - F.col("top_n"))))
+    mixed = mixed.filter("parts > 1").select("key", "top", tiles.alias("tiles"), chunks.alias("chunks"))
     mixed = scratch.write(placed.join(mixed, "key"), "mixed")
-    rest = mixed.filter("c <> top").select("key", *(F.col(x).alias(f"{x}_a") for x in ("id", "n", "c")))
-    every = mixed.select("key", "top", *(F.col(x).alias(f"{x}_b") for x in ("id", "n", "c")))
-    pairs = (
-        rest.join(every, "key")
-        .filter("c_a <> c_b and (c_b = top or id_a < id_b)")
-        .filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-        .distinct()
-    )
-    more = scratch.write(confirmed(pairs), "more-links")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    inside = mixed.select("key", "id", "c", F.lit(False).alias("rest"), place("tiles").alias("tile"), every("chunks").alias("chunk"))
+    rest = mixed.filter("c <> top").select("key", "id", "c", F.lit(True).alias("rest"), every("tiles").alias("tile"), place("chunks").alias("chunk"))
+    tiled = inside.unionByName(rest).join(full, "id").select("key", "tile", "chunk", "id", "c", "rest", "shingles")
+    more = scratch.write(tiled.groupBy("key", "tile", "chunk").applyInArrow(_across(percent), f"u {idt}, v {idt}").distinct(), "more-links")
     final = components(first.unionByName(more), scratch) if more.take(1) else first
     scratch.drop(members, placed, mixed, full, reps, links)
 
