@@ -8,7 +8,7 @@
 Groups are of bounded size at any input size; the padding is that of first-fit decreasing plus one open bin a group.
 
 Ids are those of the tokenizers library. Its normaliser and split pattern drop white space and never look across it, so
-words are encoded one by one; a worker keeps the ids of up to CACHE words.
+words are encoded one by one, and a worker keeps the ids of recent ones.
 
 Defined cases: null and empty texts are a single id, END. Repeated rows are packed each. A null id stays null. Other
 columns are ignored. An empty table gives an empty result.
@@ -16,44 +16,123 @@ columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import random
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-LENGTH, END, GROUP, CACHE = 4096, 2, 8192, 500_000
+LENGTH, END, GROUP = 4096, 2, 8192
+#: Words whose ids a worker keeps in each of two generations, about.
+WORDS = 400_000
+#: Documents whose words are numbered together.
+SLICE = 2000
+
+
+#: Cut off a word's end where a letter or digit stands before: the tokenizer splits there.
+_TAIL = ".,;:!?|#$%&*"
 
 
 class WordIds:
-    """Packed ids of words, by a tokenizer whose splitting drops white space."""
+    """Packed ids of words, by a tokenizer whose splitting drops white space.
+
+    The tokenizer lower-cases, and splits letters and digits from what follows; so "Word", "word," and "WORD." share the
+    ids of "word". Words are kept in two generations: when the young one is full, it becomes the old one.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[bytes, bytes] = {}
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """See that the cache has all words of ``texts``."""
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        new = list({w for t in texts for w in t}.difference(self.cache))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def look_up(self, words: list[str]) -> list[bytes]:
+        if len(self.young) >= WORDS:
+            self.old, self.young = self.young, {}
+        found = list(map(self.young.get, words))
+        new = []
+        for k, v in enumerate(found):
+            if v is None:
+                w = words[k]
+                if (v := self.old.get(w)) is None:
+                    new.append(k)
+                else:
+                    found[k] = self.young[w] = v
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
-            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.cache.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, got, strict=True))
-
-    def ids(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.cache.__getitem__, words))
+            got = self.tokenizer.encode_batch_fast([words[k] for k in part], add_special_tokens=False)
+            for k, e in zip(part, got, strict=True):
+                found[k] = self.young[words[k]] = array("I", e.ids).tobytes()
+        return found
+
+    def _packed(self, different: pa.Array) -> list[bytes]:
+        """The packed ids of different words."""
+        plain = pc.invert(pc.match_substring(different, "<|"))  # special tokens keep their case
+        lowered = pc.if_else(plain, pc.ascii_lower(different), different)
+        cut = pc.ascii_rtrim(lowered, characters=_TAIL)
+        size = pc.binary_length(cut).to_numpy(zero_copy_only=False)
+        data = np.frombuffer(cut.buffers()[2] or b"", np.uint8)
+        ends = np.frombuffer(cut.buffers()[1], np.int32)[cut.offset + 1 : cut.offset + 1 + len(cut)]
+        last = data[np.maximum(ends - 1, 0)] if len(data) else np.zeros(len(cut), np.uint8)
+        alnum = ((last >= 48) & (last <= 57)) | ((last >= 97) & (last <= 122))
+        ok = (size > 0) & alnum & (size < pc.binary_length(lowered).to_numpy(zero_copy_only=False))
+        stems = pc.if_else(pa.array(ok), cut, lowered).dictionary_encode()
+        packed = self.look_up(stems.dictionary.to_pylist())
+        out = [packed[k] for k in stems.indices.to_pylist()]
+        which = np.flatnonzero(ok)
+        tails = lowered.take(pa.array(which)).to_pylist()
+        known: dict[str, bytes] = {}
+        for k, w, n in zip(which.tolist(), tails, pc.utf8_length(cut).take(pa.array(which)).to_pylist(), strict=True):
+            tail = w[n:]
+            ids = known.get(tail)
+            if ids is None:
+                ids = known[tail] = self.look_up([tail])[0]
+            out[k] += ids
+        return out
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each text's ids end).
+
+        Words are numbered by Arrow's dictionary encoding; only different words are looked up, then their ids are
+        gathered with array operations.
+        """
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        packed = self._packed(coded.dictionary)
+        flat = np.frombuffer(b"".join(packed), np.uint32)
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        start = size.cumsum() - size
+        word = coded.indices.to_numpy()
+        n = size[word]
+        ends = n.cumsum()
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.arange(total) + np.repeat(start[word] - (ends - n), n)
+        text_ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        return flat[at], np.concatenate(([0], ends))[text_ends]
+
+
+    def documents(self, texts: pa.Array) -> Iterator[bytes]:
+        """The packed ids of each document, END included."""
+        last = array("I", [END]).tobytes()
+        for i in range(0, len(texts), SLICE):
+            flat, ends = self.ids(texts.slice(i, SLICE))
+            at = 0
+            for end in ends.tolist():
+                yield flat[at:end].tobytes() + last
+                at = end
 
 
 @lru_cache(2)
@@ -66,11 +145,8 @@ def _pieces(path: str, with_ids: bool):
         words = word_ids(path)
         deal = random.Random()
         for batch in batches:
-            texts = [(x.as_py() or b"").split() for x in batch.column(1)]
-            words.learn(texts)
             which, rows = [], []
-            for k, t in enumerate(texts):
-                ids = words.ids(t) + array("I", [END]).tobytes()
+            for k, ids in enumerate(words.documents(batch.column(1))):
                 n = len(ids) // 4
                 for start in range(0, n, LENGTH):
                     piece = ids[4 * start : 4 * (start + LENGTH)]
@@ -133,7 +209,7 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", w
     """
     spark, scratch = df.sparkSession, scratch or Scratch(df.sparkSession, "packing")
     kind = df.schema[id_col].dataType.simpleString()
-    texts = df.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("text"))
+    texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     made = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, deal long, ids binary"
     pieces = scratch.write(texts.mapInArrow(_pieces(path, with_ids), made), "pieces")
     groups = max(1, round(pieces.count() / GROUP))
