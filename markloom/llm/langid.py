@@ -31,6 +31,7 @@ ROWS, ROW_CHARS, SAMPLE_CHARS, LANGUAGES, SEGMENT = 120, 1000, 50_000, 100, 256
 UNKNOWN, MIN_SCORE = "und", 0.01
 PAD, OTHER, BLANK = 0, 1, 2
 NEW_PHRASE = 1 << 30
+SLICE = 500
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -119,6 +120,15 @@ class Model:
             out[:, k] = np.bincount(owner, count, len(texts))
         return out
 
+    def predict_all(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        """Language and score of each text, SLICE texts at a time."""
+        named, score = [], []
+        for i in range(0, len(texts), SLICE):
+            n, s = self.predict(texts.slice(i, SLICE).to_pylist())
+            named += n
+            score += s
+        return named, score
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         codes = [self.codes(t or "") for t in texts]
         lettered = [bool((c != BLANK).any()) for c in codes]
@@ -205,7 +215,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
         for batch in batches:
             if not batch.num_rows:
                 continue
-            named, score = shared.value.predict(batch.column(1).to_pylist())
+            named, score = shared.value.predict_all(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(named, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
 
     out = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double")
@@ -231,7 +241,7 @@ def keep_identified(df: DataFrame, model: Model, text: str = "text", least_score
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                named, score = shared.value.predict(batch.column(at).to_pylist())
+                named, score = shared.value.predict_all(batch.column(at))
                 yield batch.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(named, score, strict=True)]))
 
     return df.mapInArrow(run, df.schema)
