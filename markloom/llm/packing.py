@@ -33,9 +33,9 @@ from .common import Scratch
 
 LENGTH, END, GROUP = 4096, 2, 8192
 #: Words whose ids a worker keeps in each of two generations, about.
-WORDS = 200_000
+WORDS = 300_000
 #: Documents whose words are numbered together.
-SLICE = 1000
+SLICE = 2000
 
 
 #: Cut off a word's end where a letter or digit stands before: the tokenizer splits there.
