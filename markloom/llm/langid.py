@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 ROWS, ROW_CHARS, SAMPLE_CHARS, LANGUAGES, SEGMENT = 120, 1000, 50_000, 100, 256
 UNKNOWN, MIN_SCORE = "und", 0.01
 PAD, OTHER, BLANK = 0, 1, 2
-NEW_PHRASE = 1 << 30
+#: A transition's count of phrases that end stands above its state.
+COUNT = 29
 SLICE = 500
 
 
@@ -114,8 +115,8 @@ class Model:
                 n = count[b : b + block]
                 for row in part:
                     got = table[state * width + row]
-                    n += got >> 30
-                    state = got & (NEW_PHRASE - 1)
+                    n += got >> COUNT
+                    state = got & ((1 << COUNT) - 1)
                 n += state > 0
             out[:, k] = np.bincount(owner, count, len(texts))
         return out
@@ -175,13 +176,13 @@ def fit(samples: dict[str, list[str]]) -> Model:
         for c, to in moves[0].items():
             if c >= 0:
                 root[c] = to
-        table[:] = root | NEW_PHRASE
+        # a class that the sample doesn't have is a phrase by itself
+        table[:] = root | np.where(root > 0, 1 << COUNT, 2 << COUNT).astype(np.int32)
         for s, m in enumerate(moves):
             for c, to in m.items():
                 if c >= 0:
                     table[s, c] = to
-        table[0] = root
-        table[0, OTHER] = NEW_PHRASE
+        table[0] = np.where(root > 0, root, 1 << COUNT)
         table[:, PAD] = np.arange(len(moves))
         model.tables.append(table.reshape(-1))
         model.logs.append(math.log2(max(2, len(t))))
