@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS, ROW_CHARS, SAMPLE_CHARS, LANGUAGES, SEGMENT = 120, 1000, 50_000, 100, 256
-UNKNOWN, MIN_SCORE = "und", 0.01
+UNKNOWN, MIN_SCORE = "und", 0.0
 PAD, OTHER, BLANK = 0, 1, 2
 #: A transition's count of phrases that end stands above its state.
 COUNT = 29
