@@ -1,6 +1,7 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact containment verifies them.
 
-Templates are license notices; a word is folded to lower case and stripped of what is neither letter nor digit. Templates of
+Templates are license notices, in full or their telling part, and passages of license texts. The opening of the BSD texts,
+which all of them share, is named BSD. Notices of fewer than five words, such as SPDX lines, aren't covered. A word is folded to lower case and stripped of what is neither letter nor digit. Templates of
 like size form a class. A class's windows hold 1.5 times its largest template's shingles and overlap so that each
 occurrence of a template lies inside one window. BANDS minima of one row each then agree in at least one band with
 probability 1 - (1 - J)^BANDS, where J >= 0.35 for a window that holds 0.8 of a template: 0.999 at least.
@@ -27,21 +28,57 @@ from pyspark.sql import functions as F
 from .common import fold, words
 
 SHINGLE, BANDS, CONTAINMENT = 5, 16, 0.8
-#: License notices (fixed values).
+#: License notices (fixed values). A notice that differs from another one in a word or two, such as a version, is cut so
+#: short that those words decide: no template's text holds CONTAINMENT of another one's shingles, unless it holds them all.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-notice": "Licensed under the MIT License.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "Apache-2.0-text": "Apache License Version 2.0, January 2004",
+    "GPL-2.0": "the GNU General Public License, version 2",
+    "GPL-3.0": "the GNU General Public License, version 3",
+    "LGPL-2.1": "the GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0": "the GNU Lesser General Public License, version 3",
+    "AGPL-3.0": "the GNU Affero General Public License, version 3",
+    "GPL-2.0-header": "the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+    "GPL-3.0-header": "the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "GPL-2.0-only-header": "the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License",
+    "GPL-3.0-only-header": "the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License",
+    "LGPL-2.1-header": "the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+    "LGPL-3.0-header": "the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "AGPL-3.0-header": "the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "GPL-2.0-text": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0-text": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June",
+    "LGPL-2.1-text": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0-text": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "AGPL-3.0-text": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-3-Clause": "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "BSD-2-Clause-notice": "under the BSD 2-Clause License",
+    "BSD-3-Clause-notice": "under the BSD 3-Clause License",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-2.0-text": "Mozilla Public License Version 2.0",
+    "EPL-1.0": "terms of the Eclipse Public License v1.0",
+    "EPL-2.0": "terms of the Eclipse Public License 2.0",
+    "EPL-2.0-header": "terms of the Eclipse Public License v. 2.0",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "CC0-1.0": "waived all copyright and related or neighboring rights to this work",
+    "CC0-1.0-notice": "CC0 1.0 Universal Public Domain Dedication",
+    "CC0-1.0-text": "CC0 1.0 Universal (CC0 1.0) Public Domain Dedication",
 }
+#: The Creative Commons licenses come in the same two notices.
+for _short, _long in {
+    "BY": "Attribution",
+    "BY-SA": "Attribution-ShareAlike",
+    "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC": "Attribution-NonCommercial",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}.items():
+    TEMPLATES[f"CC-{_short}-4.0"] = f"This work is licensed under a Creative Commons {_long} 4.0 International License."
+    TEMPLATES[f"CC-{_short}-4.0-notice"] = f"Licensed under CC {_short} 4.0."
 _rng = random.Random(1)
 MASKS = [_rng.getrandbits(64) - 2**63 for _ in range(BANDS)]
 
