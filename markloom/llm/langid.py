@@ -1,10 +1,11 @@
 """Language identification by cross-parsing entropy.
 
-Training, on the driver: a bounded sample of labelled texts per language (ROWS rows, ROW_CHARS characters of each, the
-same total for all languages) becomes a suffix automaton, stored as a dense transition table. Greedy cross-parsing walks
-it from the root as long as the text goes on matching; where it doesn't, one phrase ends and the next begins. So each
-phrase is the longest match from its start. The language that needs the fewest phrases, times the logarithm of its
-sample's length, wins.
+Training, on the driver: a bounded sample of labelled texts per language (ROWS rows, ROW_CHARS characters of each,
+SAMPLE_CHARS in all; a rare language's sample is shorter and shortens no other one) becomes a suffix automaton, stored
+as a dense transition table. Greedy cross-parsing walks it from the root as long as the text goes on matching; where it
+doesn't, one phrase ends and the next begins. So each phrase is the longest match from its start. The language that
+needs the fewest phrases, times the logarithm of the places a phrase can name (its sample's characters and all letters),
+wins.
 
 Prediction, on the executors: whole texts as letters and single spaces, in segments of SEGMENT characters that are
 parsed side by side with array operations; a phrase ends at its segment's end. Nothing but the text is used.
@@ -157,8 +158,7 @@ def fit(samples: dict[str, list[str]]) -> Model:
             text = text.replace(blank * 2, blank)
         if any(ch.isalpha() for ch in text):
             joined[lang] = text
-    size = min([SAMPLE_CHARS, *map(len, joined.values())])
-    joined = {k: t[:size] for k, t in joined.items()}
+    joined = {k: t[:SAMPLE_CHARS] for k, t in joined.items()}
     seen: dict[str, int] = {}
     for t in joined.values():
         for ch in t:
@@ -185,7 +185,8 @@ def fit(samples: dict[str, list[str]]) -> Model:
         table[0] = np.where(root > 0, root, 1 << COUNT)
         table[:, PAD] = np.arange(len(moves))
         model.tables.append(table.reshape(-1))
-        model.logs.append(math.log2(max(2, len(t))))
+        # a phrase names a place in the sample or, unmatched, a letter: short samples don't get phrases for nothing
+        model.logs.append(math.log2(max(2, len(t) + len(alphabet))))
     return model
 
 
