@@ -1,6 +1,7 @@
 """From raw documents to packed training sequences, in stages that are each written as Parquet and read again.
 
-A null text is rejected by the quality rules; rows without an id pass the near-duplicate stage as they are; repeated
+A null text is rejected by the quality rules; texts in no learned language
+by language ID, unless there is none; rows without an id pass the near-duplicate stage as they are; repeated
 rows with an id are one document there. Empty tables stay empty; further columns go through all stages but the last.
 """
 
@@ -19,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.keep_identified(docs, langid.train(docs, ~langid.held_out()))
+    return langid.keep_identified(docs, langid.train(docs, ~langid.held_out(), limits=True))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,9 @@ wins.
 Prediction, on the executors: whole texts as letters and single spaces, in segments of SEGMENT characters that are
 parsed side by side with array operations; a phrase ends at its segment's end. Nothing but the text is used.
 
+The pipeline keeps texts that cost at most MARGIN times the bits a character that all but the costliest pieces of their
+language's sample cost, by a model of its other half. So texts of no learned language go; all stay where none was learned.
+
 Defined cases: a null text, or one without letters, is ``und`` with score 0. Ties go to the first language in order.
 Rows with a null language, and those that the caller holds out, aren't learned from. Without any labelled row all
 results are ``und``. At most LANGUAGES languages are learned, the most frequent. Other columns are ignored; repeated
@@ -29,7 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS, ROW_CHARS, SAMPLE_CHARS, LANGUAGES, SEGMENT = 120, 1000, 50_000, 100, 256
-UNKNOWN, MIN_SCORE = "und", 0.0
+UNKNOWN = "und"
+#: Calibration: characters of a piece, the share of pieces taken as typical, what a text may cost as a multiple of those.
+PIECE, TYPICAL, MARGIN = 100, 0.95, 2.0
 PAD, OTHER, BLANK = 0, 1, 2
 #: A transition's count of phrases that end stands above its state.
 COUNT = 29
@@ -75,6 +80,7 @@ class Model:
     alphabet: str
     tables: list[np.ndarray] = field(repr=False)  # per language, states x classes, flattened
     logs: list[float] = field(default_factory=list)
+    limits: list[float] = field(default_factory=list)  # bits a character, by limit()
 
     def codes(self, text: str) -> np.ndarray:
         """Classes of the lower-cased text's characters, runs of BLANK as one."""
@@ -131,6 +137,22 @@ class Model:
             score += s
         return named, score
 
+    def bits(self, texts: list[str | None]) -> np.ndarray:
+        """Cost of each text (rows) by each language (columns), in bits a character."""
+        codes = [self.codes(t or "") for t in texts]
+        return self.phrases(codes) * np.array(self.logs) / np.array([[max(1, len(c))] for c in codes])
+
+    def known(self, texts: pa.Array) -> list[bool]:
+        """Whether each text has a letter and costs no more than the limit of its cheapest language."""
+        out = []
+        for i in range(0, len(texts), SLICE):
+            part = texts.slice(i, SLICE).to_pylist()
+            bits = self.bits(part)
+            best = bits.argmin(axis=1)
+            ok = bits[np.arange(len(part)), best] <= np.array(self.limits)[best]
+            out += [bool(k) and any(map(str.isalpha, t or "")) for k, t in zip(ok, part, strict=True)]
+        return out
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         codes = [self.codes(t or "") for t in texts]
         lettered = [bool((c != BLANK).any()) for c in codes]
@@ -190,8 +212,24 @@ def fit(samples: dict[str, list[str]]) -> Model:
     return model
 
 
-def train(df: DataFrame, learned: Column, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> Model:
-    """Fit on at most ROWS rows a language among those for which ``learned`` holds."""
+def limit(texts: list[str]) -> float:
+    """Bits a character that a language's texts may cost: each half of its sample is parsed by the other half's model."""
+    if len(texts) < 2:
+        half = (len(texts[0]) + 1) // 2
+        texts = [texts[0][:half], texts[0][half:]]
+    found: list[float] = []
+    for k in range(2):
+        model = fit({"": texts[k::2]})
+        pieces = [t[i : i + PIECE] for t in texts[1 - k :: 2] for i in range(0, max(1, len(t) - PIECE // 2), PIECE)]
+        pieces = [p for p in pieces if any(map(str.isalpha, p))]
+        if not model.languages or not pieces:
+            return math.inf
+        found += model.bits(pieces)[:, 0].tolist()
+    return MARGIN * float(np.quantile(found, TYPICAL))
+
+
+def train(df: DataFrame, learned: Column, text: str = "text", lang: str = "lang", id_col: str = "doc_id", limits: bool = False) -> Model:
+    """Fit on at most ROWS rows a language among those for which ``learned`` holds; with ``limits``, calibrate them too."""
     rows = df.filter(learned & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.col(lang) != UNKNOWN))
     counts = rows.groupBy(F.col(lang).alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "k").limit(LANGUAGES).collect()
     if not counts:
@@ -204,7 +242,10 @@ def train(df: DataFrame, learned: Column, text: str = "text", lang: str = "lang"
     for r in sorted(drawn.collect(), key=lambda r: (r["h"], r["t"])):
         if len(samples.setdefault(r["k"], [])) < ROWS:
             samples[r["k"]].append(r["t"])
-    return fit(samples)
+    model = fit(samples)
+    if limits:
+        model.limits = [limit(samples[k]) for k in model.languages]
+    return model
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -235,15 +276,16 @@ def identify(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: st
     return predict(df, model, id_col, text).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(df: DataFrame, model: Model, text: str = "text", least_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``df`` whose text has a language, with a score of ``least_score`` or more, as they are."""
+def keep_identified(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text is in a language of the model (by its limits), as they are; all if there is none."""
+    if not model.languages:
+        return df
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                named, score = shared.value.predict_all(batch.column(at))
-                yield batch.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(named, score, strict=True)]))
+                yield batch.filter(pa.array(shared.value.known(batch.column(at)), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

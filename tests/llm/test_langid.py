@@ -24,3 +24,16 @@ def test_rare_language_shortens_no_sample(rare):
     named, _ = model.predict_all(pa.array([text(k) for k in want]))
     assert named == want
     assert len(model.tables[0]) > 20_000 * (3 + len(model.alphabet))
+
+
+def test_stage_keeps_learned_languages_and_rejects_others(spark):
+    rows = [(k, text(lang), lang) for k, lang in enumerate(["aa", "bb"] * 100)]
+    rows += [(1000 + k, "".join(R.choices("qrstuvwxyzhgf     ", k=300)), None) for k in range(5)] + [(2000, "12 34", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = langid.keep_identified(docs, langid.train(docs, ~langid.held_out(), limits=True)).collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(200))
+
+
+def test_stage_keeps_all_where_nothing_is_learned(spark):
+    docs = spark.createDataFrame([(1, "some plain words", None), (2, "more of them", None)], "doc_id long, text string, lang string")
+    assert langid.keep_identified(docs, langid.train(docs, ~langid.held_out(), limits=True)).count() == 2
