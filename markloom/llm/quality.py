@@ -10,7 +10,7 @@ alike; an empty table gives an empty result. A ratio whose denominator is 0 is n
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,11 +28,15 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """``low <= measure <= high``; None leaves a side open. Measures are per word unless said otherwise."""
+    """``low <= measure <= high``; None leaves a side open. Measures are per word unless said otherwise.
+
+    With ``least_words``, only texts of so many words that also break a rule of WEAK can break it.
+    """
 
     measure: str
     low: float | None = None
     high: float | None = None
+    least_words: int = 0
 
 
 #: The threshold table.
@@ -48,6 +52,18 @@ RULES = (
     Rule("ellipsis_line_ratio", high=0.5),  # lines that end in an ellipsis, to lines with a word
     Rule("longest_word_chars", high=1000),
 )
+#: Weak signals: these alone reject nothing.
+WEAK = (
+    Rule("mean_word_chars", low=3, high=10),
+    Rule("symbol_ratio", high=0.1),
+    Rule("shout_ratio", high=0.1),
+    Rule("letter_word_ratio", low=0.8),
+    Rule("dup_line_ratio", high=0.3),
+    Rule("bullet_line_ratio", high=0.5),
+    Rule("ellipsis_line_ratio", high=0.25),
+)
+#: The rules of the pipeline. A ratio of 0.01 says something from 100 words on, and a lack of listed words also means another language.
+KEEP_RULES = tuple(replace(r, least_words=100) if r.measure == "stop_word_ratio" else r for r in RULES)
 WINDOW = 5
 P = "__quality_"
 
@@ -127,17 +143,26 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def _breaks(r: Rule) -> Column:
+    m, bad = F.col(P + r.measure), F.lit(False)
+    if r.low is not None:
+        bad = bad | (m < r.low)
+    if r.high is not None:
+        bad = bad | (m > r.high)
+    return bad
+
+
 def verdict(rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
     """(base_failed, names of the broken rules) over the columns of :func:`measured`."""
     base = (F.col(P + "n_words") < 10) | (100 * F.col(P + "n_repeat_words") > 20 * F.col(P + "n_words"))
+    weak = F.lit(False)
+    for r in WEAK:
+        weak = weak | F.coalesce(_breaks(r), F.lit(False))
     broken = []
     for r in rules:
-        m = F.col(P + r.measure)
-        bad = F.lit(False)
-        if r.low is not None:
-            bad = bad | (m < r.low)
-        if r.high is not None:
-            bad = bad | (m > r.high)
+        bad = _breaks(r)
+        if r.least_words:
+            bad = bad & (F.col(P + "n_words") >= r.least_words) & weak
         broken.append(F.when(bad, F.lit(r.measure)))
     return base, F.array_compact(F.array(*broken))
 
@@ -161,7 +186,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text: str = "text", rules: tupl
     )
 
 
-def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = KEEP_RULES) -> DataFrame:
     """The rows of ``df`` that pass, with their own columns only."""
     base, broken = verdict(rules)
     # the id, being nondeterministic and used, keeps the filter above the projections: pushed down, it would repeat their work per word
