@@ -8,7 +8,8 @@
    table of them is broadcast if it has at most BROADCAST rows; else each page gets its own paths by a join.
 4. A second Arrow pass parses again and takes the text: inside the page's articles (or its main element, or else its
    body), without the removed branches and without branches that say what they are: menus, headers, footers, sidebars,
-   notices, adverts, forms, comments, by element, role or class. Removed paths are put back where they would take half
+   notices, adverts, forms, comments, by element, role or class. Inside articles such words are often just names: but for
+   those of CLEAR, they only count for blocks that are mostly links or whose path is unimportant. Removed paths are put back where they would take half
    of what is left, so that a host of copies doesn't lose its text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space.
@@ -49,6 +50,8 @@ WORDS = frozenset(
     " popup modal overlay newsletter subscribe subscription signup login comment comments commentlist reply replies respond disqus"
     " related recommended recommendations share sharing social toolbar pagination pager skip search copyright disclaimer form".split()
 )
+#: Words of classes that decide inside articles too, alone.
+CLEAR = frozenset("ad ads advert adverts advertisement advertisements adsense comments commentlist disqus".split())
 #: Elements whose start ends an open element of the second kind.
 CLOSES = {t: frozenset({"p"}) for t in BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}} | {
     "li": frozenset({"li", "p"}),
@@ -67,19 +70,33 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("name", "path", "away", "header", "root", "children", "text")
+    __slots__ = ("name", "path", "away", "header", "root", "children", "text", "inside", "doubts")
 
-    def __init__(self, name: str, path: str, away: bool, header: bool, root: bool):
-        self.name, self.path, self.away, self.header, self.root = name, path, away, header, root
+    def __init__(self, name: str, path: str, away: bool, header: bool, root: bool, inside: bool = False, doubts: tuple[Node, ...] = ()):
+        self.name, self.path, self.away, self.header, self.root, self.inside, self.doubts = name, path, away, header, root, inside, doubts
 
 
-def _says_away(name: str, attributes: dict[str, str]) -> bool:
+def _any_word(said: str, of: frozenset[str]) -> bool:
+    return any(w.lower() in of for w in _PARTS.findall(said))
+
+
+def _says_away(name: str, attributes: dict[str, str], inside: bool) -> bool:
     if name in AWAY or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
         return True
     if name in ("html", "body", "article", "main") and "comment" not in attributes.get("class", "").lower():
         return False
-    said = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return any(w.lower() in WORDS for w in _PARTS.findall(said)) or bool(_HIDDEN.search(attributes.get("style", "")))
+    if _HIDDEN.search(attributes.get("style", "")):
+        return True
+    said = attributes.get("class", "")
+    return _any_word(said, CLEAR) if inside and name not in ("article", "main") else _any_word(f"{said} {attributes.get('id', '')}", WORDS)
+
+
+def _in_doubt(name: str, attributes: dict[str, str]) -> bool:
+    """Whether a block inside an article has a word that needs more than itself; ids of headings and sections say nothing."""
+    if name not in BLOCKS or name in ("article", "main"):
+        return False
+    named = "" if name in HEADINGS or name == "section" else attributes.get("id", "")
+    return _any_word(f"{attributes.get('class', '')} {named}", WORDS)
 
 
 def blocks(html: str) -> tuple[list[tuple[str, str, Node, bool]], dict[str, list[str]]]:
@@ -152,7 +169,7 @@ def blocks(html: str) -> tuple[list[tuple[str, str, Node, bool]], dict[str, list
                     if stack[k].name in SCOPES and stack[k].name not in ends:
                         break
             up = stack[-1]
-            away = up.away or _says_away(name, attributes)
+            away = up.away or _says_away(name, attributes, up.inside)
             if name in BLOCKS or away != up.away:
                 flush()
             label = f"{name}.{'.'.join(sorted(attributes['class'].split()))}" if attributes.get("class") else name
@@ -162,7 +179,10 @@ def blocks(html: str) -> tuple[list[tuple[str, str, Node, bool]], dict[str, list
             header = up.header or name == "header"
             if header and not any(n.root for n in stack):
                 away = True
-            node = Node(name, path, away, header, name in ("article", "main") or attributes.get("role", "").lower() == "main")
+            is_root = name in ("article", "main") or attributes.get("role", "").lower() == "main"
+            node = Node(name, path, away, header, is_root, up.inside or is_root, up.doubts)
+            if up.inside and not away and _in_doubt(name, attributes):
+                node.doubts += (node,)
             stack.append(node)
             links += name == "a"
             if name in RAW:
@@ -194,11 +214,25 @@ def style_nodes(html: str) -> dict[str, tuple[bytes, bytes]]:
     return {p: (digest(styles.get(p, [])), digest(t)) for p, t in texts.items()}
 
 
+def _settled(parts: list[tuple[str, str, Node, bool]], low: Callable[[str], bool] | None) -> list[tuple[str, str, Node, bool]]:
+    """Without blocks under a word in doubt that are mostly links there, or unimportant."""
+    sizes: dict[Node, list[int]] = {}
+    for said, linked, node, _ in parts:
+        for d in node.doubts:
+            n = sizes.setdefault(d, [0, 0])
+            n[0] += len(said)
+            n[1] += len(linked)
+    if not sizes:
+        return parts
+    dense = {d for d, (n, linked) in sizes.items() if 2 * linked > n}
+    return [b for b in parts if not b[2].doubts or not (dense.intersection(b[2].doubts) or (low is not None and low(b[2].path)))]
+
+
 def main_text(html: str, low: Callable[[str], bool] | None = None) -> str:
     """The joined blocks of a page's main text, without the paths for which ``low`` holds."""
     parts = [b for b in blocks(html)[0] if not b[2].away and (not b[2].header or b[2].name in HEADINGS)]
     if any(b[3] for b in parts):
-        parts = [b for b in parts if b[3]]
+        parts = _settled([b for b in parts if b[3]], low)
     else:
         parts = [b for b in parts if 2 * len(b[1]) <= len(b[0])]
     if low is not None:
