@@ -1,10 +1,11 @@
 """Packing tokenized documents into sequences by first-fit decreasing.
 
 1. One Arrow pass tokenizes the whole texts and cuts each document into pieces: full sequences, and a rest. Pieces carry
-   the checksum of their ids; ids themselves aren't shuffled. The pieces are written to the shared folder, each with a
+   the checksum of their ids; ids themselves are shuffled only if asked for. The pieces are written to the shared folder, each with a
    random number, so that later stages see the same groups however often a task runs again.
 2. Pieces are dealt by that number to groups of about GROUP pieces. Each group is packed on its own: pieces in order of
-   decreasing length go to the first bin with room, which a tournament tree of bin capacities finds in log time.
+   decreasing length go to the first bin with room, which a tournament tree of bin capacities finds in log time. With
+   ids, sequences are filled, and ids and checksums are read back from them.
 Groups are of bounded size at any input size; the padding is that of first-fit decreasing plus one open bin a group.
 
 Ids are those of the tokenizers library. Its normaliser and split pattern drop white space and never look across it, so
@@ -199,7 +200,26 @@ def _pack(table: pa.Table) -> pa.Table:
     base = table.column("group")[0].as_py() << 32 if table.num_rows else 0
     out = table.select(["id", "start", "length", "ids_crc32", "doc_tokens"])
     out = out.append_column("sequence_id", pa.array([base + b for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
-    return out.append_column("ids", table.column("ids"))
+    ids = table.column("ids")
+    if ids.null_count < len(ids):
+        ids, checksums = _filled(ids, bins, offsets)
+        out = out.set_column(3, "ids_crc32", checksums)
+    return out.append_column("ids", ids)
+
+
+def _filled(pieces: pa.ChunkedArray, bins: list[int], offsets: list[int]) -> tuple[pa.Array, pa.Array]:
+    """The pieces' ids and their checksums, read back from the sequences that the pieces are put into."""
+    sequences: dict[int, bytearray] = {}
+    spans = []
+    for b, at, piece in zip(bins, offsets, pieces, strict=True):
+        data = piece.as_buffer()
+        sequence = sequences.setdefault(b, bytearray())
+        if len(sequence) < 4 * at + data.size:
+            sequence.extend(bytes(4 * at + data.size - len(sequence)))
+        sequence[4 * at : 4 * at + data.size] = memoryview(data)
+        spans.append((b, 4 * at, 4 * at + data.size))
+    found = [bytes(sequences[b][i:j]) for b, i, j in spans]
+    return pa.array(found, pa.binary()), pa.array([zlib.crc32(x) for x in found], pa.int64())
 
 
 def pack(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", with_ids: bool = False, scratch: Scratch | None = None) -> DataFrame:

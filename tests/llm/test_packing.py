@@ -1,0 +1,23 @@
+"""Packed sequences hold the ids of their documents."""
+
+import zlib
+from collections import defaultdict
+
+import corpus_pipeline
+import public_tokenizers
+from tokenizers import Tokenizer
+
+
+def test_pipeline_returns_ids(spark):
+    texts = {k: " ".join(f"word{k * i % 91}" for i in range(n)) for k, n in enumerate([0, 5, 700, 1500, 4000])}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found, sequences = defaultdict(list), defaultdict(list)
+    for r in corpus_pipeline.pack(spark, docs, "").collect():
+        ids = memoryview(bytes(r["ids"])).cast("I").tolist()
+        assert (len(ids), zlib.crc32(r["ids"])) == (r["length"], r["ids_crc32"])
+        found[r["doc_id"]].append((r["start"], ids))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for k, t in texts.items():
+        assert sum((ids for _, ids in sorted(found[k])), []) == tokenizer.encode(t, add_special_tokens=False).ids + [2]
+    assert all(sum(n for _, n in s) <= 4096 for s in sequences.values())
