@@ -55,6 +55,28 @@ class Scratch:
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: A key with more rows than PART is split; so is at most every key with a HOT-th of all rows, which bounds their number.
+PART, HOT = 1000, 100_000
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, scratch: Scratch, how: str = "inner") -> DataFrame:
+    """``left.join(right, key, how)`` where one key may hold any share of ``left``'s rows; ``right`` has few rows a key.
+
+    The keys with more than max(PART, rows / HOT) rows, fewer than HOT by construction, are counted with partial sums and
+    broadcast with their number of parts. Rows of such a key go to a part by the hash of ``spread``, and the key's rows on
+    the right are repeated for each part. ``left`` should be cheap to read again: a written table.
+    """
+    least = max(PART, left.count() // HOT)
+    many = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > least)
+    hot = scratch.write(many.select(key, F.ceil(F.col("__n") / least).cast("int").alias("__parts")), "hot")
+    if not hot.count():
+        return left.join(right, key, how)
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("__part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("__parts")
+    copies = right.join(F.broadcast(hot), key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return dealt.join(copies, [key, "__part"], how).drop("__part")
+
+
 def words(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text; empty for null."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
