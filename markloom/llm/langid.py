@@ -1,22 +1,27 @@
 """Language identification by cross-parsing entropy.
 
-Training, on the driver: a bounded sample of labelled texts per language (ROWS rows, ROW_CHARS characters of each,
-SAMPLE_CHARS in all; a rare language's sample is shorter and shortens no other one) becomes a suffix automaton, stored
-as a dense transition table. Greedy cross-parsing walks it from the root as long as the text goes on matching; where it
-doesn't, one phrase ends and the next begins. So each phrase is the longest match from its start. The language that
-needs the fewest phrases, times the logarithm of the places a phrase can name (its sample's characters and all letters),
-wins.
-
-Prediction, on the executors: whole texts as letters and single spaces, in segments of SEGMENT characters that are
-parsed side by side with array operations; a phrase ends at its segment's end. Nothing but the text is used.
+Training, on the driver: a bounded sample of labelled texts per language (ROWS rows, of each PIECE_CHARS characters at a
+place drawn from the whole text; a rare language's sample is shorter and shortens no other one) becomes a suffix automaton.
+Greedy cross-parsing walks it from the root as long as the text goes on matching; where it doesn't, one phrase ends and
+the next begins. So each phrase is the longest match from its start. The language that needs the fewest phrases, times the
+logarithm of the places a phrase can name (its sample's characters and all letters), wins.
+
+Transitions are sparse: the rows of all states are laid over each other in one array, so that a state's transition by a
+letter is at its offset plus the letter's code, if that cell is the state's (row displacement). So a model's size follows
+its sample, not its alphabet, and all letters of the samples are known. All languages that are labelled are learned: above
+TOTAL_CHARS characters in all, every language gets the same smaller number of rows, so the model that is broadcast stays
+below about 40 * TOTAL_CHARS bytes. More than LANGUAGES different labels raise ValueError: they are no languages.
+
+Prediction, on the executors: whole texts as letters and single spaces, many texts and all languages side by side with
+array operations, one character a step; the few longest texts of a slice are finished one by one from where they stand.
+Nothing but the text is used.
 
 The pipeline keeps texts that cost at most MARGIN times the bits a character that all but the costliest pieces of their
 language's sample cost, by a model of its other half. So texts of no learned language go; all stay where none was learned.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0. Ties go to the first language in order.
 Rows with a null language, and those that the caller holds out, aren't learned from. Without any labelled row all
-results are ``und``. At most LANGUAGES languages are learned, the most frequent. Other columns are ignored; repeated
-rows give repeated results; an empty table gives an empty result.
+results are ``und``. Other columns are ignored; repeated rows give repeated results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,17 +33,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROWS, ROW_CHARS, SAMPLE_CHARS, LANGUAGES, SEGMENT = 120, 1000, 50_000, 100, 256
+ROWS, PIECE_CHARS, TOTAL_CHARS, LANGUAGES = 120, 1000, 12_000_000, 10_000
 UNKNOWN = "und"
 #: Calibration: characters of a piece, the share of pieces taken as typical, what a text may cost as a multiple of those.
 PIECE, TYPICAL, MARGIN = 100, 0.95, 2.0
-PAD, OTHER, BLANK = 0, 1, 2
-#: A transition's count of phrases that end stands above its state.
-COUNT = 29
-SLICE = 500
+OTHER, BLANK = 1, 2
+#: A transition's count of phrases that end stands above its state; the state that owns a cell above that.
+COUNT, OWNER = 29, 32
+_STATE = (1 << COUNT) - 1
+#: Texts and characters of a slice at most; below so many lanes, texts are finished one by one.
+SLICE, SLICE_CHARS, FEW = 2000, 8_000_000, 48
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -74,16 +82,60 @@ def _classes() -> np.ndarray:
     return np.fromiter((OTHER if chr(i).isalpha() else BLANK for i in range(0x110000)), np.uint8, 0x110000)
 
 
+def displaced(moves: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, cells, root): transitions laid over each other. ``cells[base[s] + c]`` is s's if its owner is s.
+
+    A value is a state and, above it, the number of phrases that end on the way there. ``root`` has the values by which a
+    phrase starts anew with a letter, for states that don't go on with it; the root's own row is complete.
+    """
+    root = np.full(width, 2 << COUNT, np.int64)  # a letter that the sample lacks is a phrase by itself
+    own = {c: to for c, to in moves[0].items() if c >= 0}
+    for c, to in own.items():
+        root[c] = to | 1 << COUNT
+    size = width + sum(map(len, moves)) + 1
+    used = bytearray(2 * size + width)
+    base = [0] * len(moves)
+    used[:width] = b"\1" * width
+    placed: list[tuple[int, int, int]] = []
+    top, hint, lowest = width, 0, 0
+    for s in sorted((s for s in range(1, len(moves)) if moves[s]), key=lambda s: -len(moves[s])):
+        row = [(c, to) for c, to in moves[s].items() if c >= 0]
+        if not row:
+            continue
+        low = min(row)[0]
+        at, tries = used.find(0, max(hint if len(row) > 1 else lowest, low)), 0
+        while True:
+            if at < 0 or at + width >= len(used):
+                used.extend(bytes(size))
+            if at >= 0 and not any(used[at - low + c] for c, _ in row):
+                break
+            at, tries = used.find(0, max(at, hint) + 1), tries + 1
+            if tries > 50:  # what lies before is left to states of one transition
+                hint = at
+        if len(row) == 1:
+            lowest = max(lowest, at - width)
+        base[s] = at - low
+        for c, to in row:
+            used[at - low + c] = 1
+            placed.append((at - low + c, s, to))
+            top = max(top, at - low + c + 1)
+    cells = np.full(top + width, -1 << OWNER, np.int64)
+    cells[:width] = np.where(root >> COUNT == 1, root & _STATE, 1 << COUNT)  # owned by the root, where no phrase is open
+    for at, s, to in placed:
+        cells[at] = s << OWNER | to
+    return np.array(base, np.int64), cells, root
+
+
 @dataclass
 class Model:
     languages: list[str]
     alphabet: str
-    tables: list[np.ndarray] = field(repr=False)  # per language, states x classes, flattened
+    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(repr=False)  # per language, by displaced()
     logs: list[float] = field(default_factory=list)
     limits: list[float] = field(default_factory=list)  # bits a character, by limit()
 
     def codes(self, text: str) -> np.ndarray:
-        """Classes of the lower-cased text's characters, runs of BLANK as one."""
+        """Codes of the lower-cased text's characters, runs of BLANK as one."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
         c = self.lookup[points]
         blank = c == BLANK
@@ -95,44 +147,85 @@ class Model:
     def lookup(self) -> np.ndarray:
         found = self.__dict__.get("_lookup")
         if found is None:
-            found = _classes().copy()
+            found = _classes().astype(np.int32)
             for k, ch in enumerate(self.alphabet):
                 found[ord(ch)] = 3 + k
             self.__dict__["_lookup"] = found
         return found
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    @property
+    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All languages' tables as one: base and cells with shifted offsets, roots by language, first state by language."""
+        found = self.__dict__.get("_joined")
+        if found is None:
+            sizes = np.cumsum([0] + [len(c) for _, c, _ in self.tables])
+            firsts = np.cumsum([0] + [len(b) for b, _, _ in self.tables])
+            base = np.concatenate([b + at for (b, _, _), at in zip(self.tables, sizes, strict=False)])
+            found = self.__dict__["_joined"] = (base, np.concatenate([c for _, c, _ in self.tables]), np.stack([r for _, _, r in self.tables]), firsts[:-1])
+        return found
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (rows) by each language (columns)."""
-        lanes = [max(1, -(-len(t) // SEGMENT)) for t in texts]
-        flat = np.zeros(sum(lanes) * SEGMENT, np.uint8)
-        at = 0
-        for t, n in zip(texts, lanes, strict=True):
-            flat[at : at + len(t)] = t
-            at += n * SEGMENT
-        steps = np.ascontiguousarray(flat.reshape(-1, SEGMENT).T)
-        owner = np.repeat(np.arange(len(texts)), lanes)
-        width = 3 + len(self.alphabet)
-        out = np.empty((len(texts), len(self.languages)))
-        block = 16_384
-        for k, table in enumerate(self.tables):
-            count = np.zeros(steps.shape[1], np.int32)
-            for b in range(0, steps.shape[1], block):
-                part = steps[:, b : b + block]
-                state = np.zeros(part.shape[1], np.int32)
-                n = count[b : b + block]
-                for row in part:
-                    got = table[state * width + row]
-                    n += got >> COUNT
-                    state = got & ((1 << COUNT) - 1)
-                n += state > 0
-            out[:, k] = np.bincount(owner, count, len(texts))
+        out = np.zeros((len(texts), len(self.languages)), np.int64)
+        lanes = max(1, 16_384 // len(self.languages))
+        order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
+        for i in range(0, len(order), lanes):
+            part = order[i : i + lanes]
+            out[part] = self._side_by_side([texts[k] for k in part]).T
         return out
 
+    def _side_by_side(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Phrases by language (rows) of texts from the longest to the shortest (columns)."""
+        base, cells, root, first = self.joined
+        flat = np.concatenate(texts) if texts else np.zeros(0, np.int32)
+        sizes = np.array([len(t) for t in texts])
+        at = np.concatenate(([0], sizes.cumsum()[:-1]))
+        state, count = np.zeros((len(first), len(texts)), np.int64), np.zeros((len(first), len(texts)), np.int64)
+        first, active, step = first[:, None], len(texts), 0
+        ends = sizes[::-1]  # ascending
+        while True:
+            active = len(texts) - int(np.searchsorted(ends, step, "right"))
+            if active * len(first) < FEW:
+                break
+            c = flat[at[:active] + step]
+            now = state[:, :active]
+            cell = cells[base[now + first] + c]
+            got = np.where(cell >> OWNER == now, cell & 0xFFFFFFFF, root[:, c])
+            count[:, :active] += got >> COUNT
+            np.bitwise_and(got, _STATE, out=now)
+            step += 1
+        for k in range(active):
+            for n, (b, cs, r) in enumerate(self.tables):
+                b, cs, r = memoryview(b), memoryview(cs), memoryview(r)
+                s, m = int(state[n, k]), 0
+                for c in texts[k][step:].tolist():
+                    cell = cs[b[s] + c]
+                    got = cell & 0xFFFFFFFF if cell >> OWNER == s else r[c]
+                    m += got >> COUNT
+                    s = got & _STATE
+                state[n, k], count[n, k] = s, count[n, k] + m
+        return count + (state > 0)
+
+    def slices(self, texts: pa.Array) -> Iterator[list[str | None]]:
+        """At most SLICE texts and about SLICE_CHARS characters at a time."""
+        now, size = [], 0
+        for t in texts:
+            now.append(t.as_py())
+            size += len(now[-1] or "")
+            if len(now) >= SLICE or size >= SLICE_CHARS:
+                yield now
+                now, size = [], 0
+        if now:
+            yield now
+
     def predict_all(self, texts: pa.Array) -> tuple[list[str], list[float]]:
-        """Language and score of each text, SLICE texts at a time."""
+        """Language and score of each text."""
         named, score = [], []
-        for i in range(0, len(texts), SLICE):
-            n, s = self.predict(texts.slice(i, SLICE).to_pylist())
+        for part in self.slices(texts):
+            n, s = self.predict(part)
             named += n
             score += s
         return named, score
@@ -142,16 +235,16 @@ class Model:
         codes = [self.codes(t or "") for t in texts]
         return self.phrases(codes) * np.array(self.logs) / np.array([[max(1, len(c))] for c in codes])
 
-    def known(self, texts: pa.Array) -> list[bool]:
-        """Whether each text has a letter and costs no more than the limit of its cheapest language."""
-        out = []
-        for i in range(0, len(texts), SLICE):
-            part = texts.slice(i, SLICE).to_pylist()
+    def known(self, texts: pa.Array) -> tuple[list[bool], list[str]]:
+        """Whether each text has a letter and costs no more than the limit of its cheapest language, and that language."""
+        out, named = [], []
+        for part in self.slices(texts):
             bits = self.bits(part)
             best = bits.argmin(axis=1)
             ok = bits[np.arange(len(part)), best] <= np.array(self.limits)[best]
             out += [bool(k) and any(map(str.isalpha, t or "")) for k, t in zip(ok, part, strict=True)]
-        return out
+            named += [self.languages[b] for b in best]
+        return out, named
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         codes = [self.codes(t or "") for t in texts]
@@ -180,33 +273,12 @@ def fit(samples: dict[str, list[str]]) -> Model:
             text = text.replace(blank * 2, blank)
         if any(ch.isalpha() for ch in text):
             joined[lang] = text
-    joined = {k: t[:SAMPLE_CHARS] for k, t in joined.items()}
-    seen: dict[str, int] = {}
-    for t in joined.values():
-        for ch in t:
-            if ch.isalpha():
-                seen[ch] = seen.get(ch, 0) + 1
-    alphabet = "".join(sorted(sorted(seen, key=lambda ch: (-seen[ch], ch))[:250]))
+    alphabet = "".join(sorted({ch for t in joined.values() for ch in t if ch.isalpha()}))
     code = {ch: 3 + k for k, ch in enumerate(alphabet)} | {blank: BLANK}
-    width = 3 + len(alphabet)
     model = Model(list(joined), alphabet, [], [])
     for t in joined.values():
-        # a line break, between texts, and a rare letter are classes that no text has
-        moves = suffix_automaton([code.get(ch, -1) for ch in t])
-        table = np.empty((len(moves), width), np.int32)
-        root = np.zeros(width, np.int32)
-        for c, to in moves[0].items():
-            if c >= 0:
-                root[c] = to
-        # a class that the sample doesn't have is a phrase by itself
-        table[:] = root | np.where(root > 0, 1 << COUNT, 2 << COUNT).astype(np.int32)
-        for s, m in enumerate(moves):
-            for c, to in m.items():
-                if c >= 0:
-                    table[s, c] = to
-        table[0] = np.where(root > 0, root, 1 << COUNT)
-        table[:, PAD] = np.arange(len(moves))
-        model.tables.append(table.reshape(-1))
+        # a line break, between texts, is a code that no text has
+        model.tables.append(displaced(suffix_automaton([code.get(ch, -1) for ch in t]), 3 + len(alphabet)))
         # a phrase names a place in the sample or, unmatched, a letter: short samples don't get phrases for nothing
         model.logs.append(math.log2(max(2, len(t) + len(alphabet))))
     return model
@@ -228,20 +300,29 @@ def limit(texts: list[str]) -> float:
     return MARGIN * float(np.quantile(found, TYPICAL))
 
 
+def spark_shares(rows: DataFrame, lang: str, shares: dict[str, int]) -> DataFrame:
+    """``rows`` with ``__share``, by language: a broadcast table of at most LANGUAGES rows."""
+    table = rows.sparkSession.createDataFrame(list(shares.items()), "__lang string, __share long")
+    return rows.join(F.broadcast(table), F.col(lang) == F.col("__lang"))
+
+
 def train(df: DataFrame, learned: Column, text: str = "text", lang: str = "lang", id_col: str = "doc_id", limits: bool = False) -> Model:
     """Fit on at most ROWS rows a language among those for which ``learned`` holds; with ``limits``, calibrate them too."""
     rows = df.filter(learned & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.col(lang) != UNKNOWN))
-    counts = rows.groupBy(F.col(lang).alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "k").limit(LANGUAGES).collect()
+    counts = rows.groupBy(F.col(lang).alias("k")).agg(F.approx_count_distinct(F.xxhash64(id_col, text)).alias("n")).limit(LANGUAGES + 1).collect()
     if not counts:
         return Model([], "", [], [])
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} different labels in {lang}")
+    each = max(1, min(ROWS, TOTAL_CHARS // PIECE_CHARS // len(counts)))
     million = 1_000_000
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["k"]), F.lit(math.ceil(min(1.0, 1.5 * ROWS / r["n"]) * million)))))
-    drawn = rows.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(million)) < F.element_at(share, F.col(lang)))
-    drawn = drawn.select(F.col(lang).alias("k"), F.xxhash64(id_col).alias("h"), F.substring(text, 1, ROW_CHARS).alias("t")).limit(3 * ROWS * len(counts))
-    samples: dict[str, list[str]] = {}
-    for r in sorted(drawn.collect(), key=lambda r: (r["h"], r["t"])):
-        if len(samples.setdefault(r["k"], [])) < ROWS:
-            samples[r["k"]].append(r["t"])
+    shares = spark_shares(rows, lang, {r["k"]: math.ceil(min(1.0, 2 * (each + 20) / max(1, r["n"])) * million) for r in counts})
+    drawn = shares.filter(F.pmod(F.xxhash64(F.col(id_col), F.col(text), F.lit(7)), F.lit(million)) < F.col("__share"))
+    pieces = F.ceil(F.length(text) / PIECE_CHARS)
+    start = F.pmod(F.xxhash64(F.col(id_col), F.col(text), F.lit(8)), F.greatest(pieces, F.lit(1))) * PIECE_CHARS + 1
+    drawn = drawn.select(F.col(lang).alias("k"), F.xxhash64(id_col, text).alias("h"), F.substring(text, start, F.lit(PIECE_CHARS)).alias("t")).distinct()
+    chosen = drawn.groupBy("k").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "t"))), 1, each).alias("x"))
+    samples = {r["k"]: [x["t"] for x in r["x"]] for r in chosen.collect()}
     model = fit(samples)
     if limits:
         model.limits = [limit(samples[k]) for k in model.languages]
@@ -252,7 +333,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     """id, lang_pred, score of each row."""
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
-    shared = spark.sparkContext.broadcast(model)  # of bounded size: LANGUAGES tables of SAMPLE_CHARS characters
+    shared = spark.sparkContext.broadcast(model)  # bounded by TOTAL_CHARS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,16 +357,24 @@ def identify(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: st
     return predict(df, model, id_col, text).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose text is in a language of the model (by its limits), as they are; all if there is none."""
+def keep_identified(df: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``df`` whose text is in a language of the model (by its limits); all if there is none.
+
+    Where ``lang`` is a null string column, kept rows get the predicted language; all else stays as it is.
+    """
     if not model.languages:
         return df
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text)
+    fill = df.columns.index(lang) if lang in df.columns and df.schema[lang].dataType.simpleString() == "string" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(shared.value.known(batch.column(at)), pa.bool_()))
+            if not batch.num_rows:
+                continue
+            keep, named = shared.value.known(batch.column(at))
+            if fill is not None:
+                batch = batch.set_column(fill, batch.schema.field(fill), pc.coalesce(batch.column(fill), pa.array(named, batch.column(fill).type)))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

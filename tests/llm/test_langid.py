@@ -23,7 +23,59 @@ def test_rare_language_shortens_no_sample(rare):
     want = [k for k in WORDS for _ in range(100)]
     named, _ = model.predict_all(pa.array([text(k) for k in want]))
     assert named == want
-    assert len(model.tables[0]) > 20_000 * (3 + len(model.alphabet))
+    assert len(model.tables[0][0]) > 20_000
+
+
+def parsed(text, sample):
+    """Greedy phrases of a text by plain search."""
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in sample:
+            j += 1
+        n, i = n + 1, max(j - 1, i + 1)
+    return n
+
+
+def test_phrases_of_long_texts_against_brute_force():
+    samples = {k: " ".join(R.choices(WORDS[k], k=300)) for k in WORDS}
+    model = langid.fit({k: [t] for k, t in samples.items()})
+    texts = [samples["aa"][100:2100], " ".join(R.choices(WORDS["bb"], k=700)), "".join(R.choices("abcdefgz ", k=2500)), "q", "", "zz zz", samples["bb"] + samples["aa"]]
+    texts = [" ".join(t.split()) for t in texts] + [text("aa", n) for n in range(1, 120)]
+    assert model.phrases([model.codes(t) for t in texts]).tolist() == [[parsed(t, samples[k]) for k in model.languages] for t in texts]
+    assert model.phrases([model.codes(texts[0])])[0, 0] == 1  # one phrase, however long
+
+
+def test_all_letters_are_learned():
+    han = [chr(0x4E00 + k) for k in range(3000)]
+    han_text = lambda: "".join(R.choices(han, k=4000))
+    own, other = han_text(), han_text()
+    model = langid.fit({"own": [own], "other": [other], "aa": [text("aa")], "bb": [text("bb")]})
+    assert len(set(model.alphabet)) > 2000 and sum(len(c) for _, c, _ in model.tables) < 60 * 9000
+    assert model.predict([own[500:520], other[3000:3030], text("aa"), text("bb")])[0] == ["own", "other", "aa", "bb"]
+
+
+def test_short_held_out_texts():
+    samples = {k: [text(k) for _ in range(100)] for k in WORDS}
+    model = langid.fit(samples)
+    want = [k for k in WORDS for _ in range(200)]
+    named, _ = model.predict([text(k, 5) for k in want])
+    assert sum(a == b for a, b in zip(named, want)) >= 0.97 * len(want)
+
+
+def test_many_languages_and_one_with_most_rows(spark):
+    rows = [(7, text("aa"), "aa")] * 500 + [(1000 + k, text("bb", 3), f"x{k}") for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, langid.F.lit(True))
+    assert len(model.languages) == 151
+    assert langid.predict(docs, model).filter("lang_pred = 'aa'").count() >= 500
+
+
+def test_stage_fills_null_languages(spark):
+    rows = [(k, text(lang), lang if k % 3 else None) for k, lang in enumerate(["aa", "bb"] * 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = langid.keep_identified(docs, langid.train(docs, ~langid.held_out(), limits=True)).collect()
+    assert len(kept) == 200 and all(r["lang"] == ("aa", "bb")[r["doc_id"] % 2] for r in kept)
 
 
 def test_stage_keeps_learned_languages_and_rejects_others(spark):
