@@ -3,9 +3,11 @@
 Every rule is a named measure with a lower and an upper bound. The measures are built-in functions over the words and
 lines of the whole text, so the plan is a scan, projections and nothing else: no shuffle, no user functions.
 
+Repeated five-word windows are looked for by their 64-bit hashes; only windows whose hash occurs again are compared as
+words, so equal hashes of different windows change nothing and memory stays near the text's own size.
+
 Defined cases: a null text counts as empty; an empty text has no words and fails the base rule; extra columns pass
-through, whatever their names (the working columns have reserved names and are dropped); repeated rows are judged
-alike; an empty table gives an empty result. A ratio whose denominator is 0 is null and breaks no rule.
+through, whatever their names (they travel in one struct beside the working columns); repeated rows are judged alike; an empty table gives an empty result. A ratio whose denominator is 0 is null and breaks no rule.
 """
 
 from __future__ import annotations
@@ -71,14 +73,11 @@ P = "__quality_"
 def _repeat_words(w: Column, n: Column) -> list[tuple[str, Column]]:
     """Steps that count the words inside windows of WINDOW words found at least twice."""
     c = lambda name: F.col(P + name)
-    windows = F.when(
-        n >= WINDOW,
-        F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.concat_ws(" ", F.slice(w, i, WINDOW))),
-    )
-    placed = F.when(
-        F.size(F.array_distinct(c("windows"))) < F.size(c("windows")),
-        F.array_sort(F.transform(c("windows"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))),
-    )
+    hashes = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WINDOW))))
+    by_hash = F.array_sort(F.transform(c("hashes"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    near = lambda x, k: F.get(c("by_hash"), k)["h"] == x["h"]
+    again = F.filter(c("by_hash"), lambda x, k: F.coalesce(near(x, k + 1), F.lit(False)) | ((k > 0) & near(x, F.greatest(k - 1, F.lit(0)))))
+    placed = F.array_sort(F.transform(again, lambda x: F.struct(F.concat_ws(" ", F.slice(w, x["i"] + 1, WINDOW)).alias("x"), (x["i"] + 1).alias("i"))))
     last = F.size(c("placed")) - 1
     at = lambda k: F.get(c("placed"), k)["x"]
     starts = F.array_sort(
@@ -96,8 +95,9 @@ def _repeat_words(w: Column, n: Column) -> list[tuple[str, Column]]:
         lambda a, s: F.struct((s + WINDOW).alias("end"), (a["n"] + s + WINDOW - F.greatest(a["end"], s)).alias("n")),
     )["n"]
     return [
-        ("windows", windows),
-        ("placed", placed),
+        ("hashes", F.when(n >= WINDOW, hashes)),
+        ("by_hash", F.when(F.size(F.array_distinct(c("hashes"))) < F.size(c("hashes")), by_hash)),
+        ("placed", F.when(c("by_hash").isNotNull(), placed)),
         ("starts", F.when(c("placed").isNotNull(), starts)),
         ("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")),
     ]
@@ -174,10 +174,10 @@ def judge(df: DataFrame, id_col: str = "doc_id", text: str = "text", rules: tupl
     """Per row: id, the base counts, ``base_failed``, ``kept`` and ``broken_rules`` (names of the rules it breaks)."""
     base, broken = verdict(rules)
     return (
-        measured(df.select(id_col, text), text)
+        measured(df.select(F.col(id_col).alias(P + "id"), F.col(text).alias(P + "text")), P + "text")
         .withColumns({P + "base": base, P + "broken": broken, P + "row": F.monotonically_increasing_id()})
         .select(
-            id_col,
+            F.col(P + "id").alias(id_col),
             *(F.col(P + k).alias(k) for k in COUNTS),
             F.col(P + "base").alias("base_failed"),
             ((F.col(P + "row") >= 0) & ~F.col(P + "base") & (F.size(P + "broken") == 0)).alias("kept"),
@@ -189,6 +189,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text: str = "text", rules: tupl
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = KEEP_RULES) -> DataFrame:
     """The rows of ``df`` that pass, with their own columns only."""
     base, broken = verdict(rules)
+    rows = df.select(F.struct(*(F.col(f"`{x}`") for x in df.columns)).alias(P + "in"), F.col(f"`{text}`").alias(P + "text"))
     # the id, being nondeterministic and used, keeps the filter above the projections: pushed down, it would repeat their work per word
-    out = measured(df, text).withColumns({P + "base": base, P + "broken": broken, P + "row": F.monotonically_increasing_id()})
-    return out.filter((F.col(P + "row") >= 0) & ~F.col(P + "base") & (F.size(P + "broken") == 0)).select(*(F.col(f"`{x}`") for x in df.columns))
+    out = measured(rows, P + "text").withColumns({P + "base": base, P + "broken": broken, P + "row": F.monotonically_increasing_id()})
+    return out.filter((F.col(P + "row") >= 0) & ~F.col(P + "base") & (F.size(P + "broken") == 0)).select(P + "in.*")
