@@ -12,8 +12,14 @@
 At the threshold a link is missed by all bands with probability (1 - 0.85^6)^28, about 2e-6, and by the signature check
 with 3e-8. Stages are written to the shared folder; nothing that grows is collected or broadcast.
 
+Keys that hold many rows are split in every join (``common.salted_join``): a common set, a bucket and a hub of a large
+group of near copies. The last pass over a bucket of m shingles in several components repeats its members for every tile
+they meet: a bucket whose members are all unlinked costs m * (m / TILE) / 2 shingles read and as many compared, so it is
+linear up to TILE shingles and quadratic in tiles beyond. README gives its measured cost.
+
 Defined cases: null or empty texts and texts without words have 0 shingles and link with nothing. Texts with fewer than
-five words are one shingle, their whole sequence. Rows with equal ids count as one document. A row with a null id joins
+five words are one shingle, their whole sequence. Rows with equal ids and texts count as one document; ``keep_first`` keeps,
+of the rows with one id, that with the least text. A row with a null id joins
 the component of the rows with an equal shingle set; without such rows its component_id is null and it is kept. Other
 columns are ignored. An empty table gives an empty result.
 """
@@ -28,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, salted_join
 from .components import components
 from .shingles import mix, shingle_set
 
@@ -40,18 +46,21 @@ SCREEN = 0.68
 _rng = np.random.default_rng(20240117)
 _A = _rng.integers(0, 2**32, BANDS * ROWS, np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 2**32, BANDS * ROWS, np.uint64).astype(np.uint32)
-_BLOCK = 512
+_BLOCK, HASH = 512, 24
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
-    """The minima of the universal hashes a * x + b mod 2^32."""
+    """Minima of multiply-shift hashes: the upper HASH bits of a * x + b mod 2^32, a odd, are universal up to a factor of 2.
+
+    The least product has the least upper bits, so the shift comes last.
+    """
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(len(_A), 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), _BLOCK):
         h = np.multiply.outer(x[i : i + _BLOCK], _A)
         h += _B
         np.minimum(least, h.min(axis=0), out=least)
-    return least
+    return least >> np.uint32(32 - HASH)
 
 
 def _band_keys(least: np.ndarray) -> np.ndarray:
@@ -164,7 +173,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
     )
     banded = reps.select("id", "n", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("m")).filter("m > 1").select("key", "hub")
-    members = scratch.write(banded.join(buckets, "key"), "members")
+    banded = scratch.write(banded, "banded")
+    members = scratch.write(salted_join(banded, scratch.write(buckets, "buckets"), "key", "id", scratch), "members")
     nodes = scratch.write(members.select("id").distinct(), "nodes")
     if nodes.count() <= BROADCAST:
         nodes = F.broadcast(nodes)
@@ -174,12 +184,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b), distinct, to links (u, v)."""
         left, right = (sig.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in ("a", "b"))
-        screened = pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_alike, f"a {idt}, b {idt}")
+        screened = salted_join(pairs, right, "b", "a", scratch).join(left, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(_alike, f"a {idt}, b {idt}")
+        screened = scratch.write(screened, "screened")
         left, right = (full.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in ("a", "b"))
-        whole = screened.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+        whole = salted_join(screened, right, "b", "a", scratch).join(left, "a").select("a", "b", "set_a", "set_b")
         return whole.mapInArrow(_linked(percent), f"a {idt}, b {idt}").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     stars = members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = scratch.write(stars, "star-pairs")
     links = scratch.write(confirmed(stars), "star-links")
     first = components(links, scratch)
 
@@ -199,9 +211,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
     final = components(first.unionByName(more), scratch) if more.take(1) else first
     scratch.drop(members, placed, mixed, full, reps, links)
 
+    # of each set its smallest id and that one's component
     least = sets.groupBy("set_key").agg(F.min("id").alias("rep"))
     least = least.join(final.select(F.col("u").alias("rep"), F.col("v").alias("c")), "rep", "left").select("set_key", F.coalesce("c", "rep").alias("component"))
-    out = rows.select("id", "n", "set_key").join(least, "set_key", "left")
+    out = salted_join(rows.select("id", "n", "set_key"), scratch.write(least, "least"), "set_key", "id", scratch, "left")
     component = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
@@ -212,5 +225,8 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", percen
     Rows without an id can't be told apart by one and stay as they are.
     """
     kept = near_duplicates(df.filter(F.col(id_col).isNotNull()), id_col, text, percent).filter("kept").select(id_col)
-    first = df.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return first.unionByName(df.filter(F.col(id_col).isNull()))
+    mine = df.join(kept, id_col, "left_semi")
+    twice = mine.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").select(id_col)
+    # rows that share an id are few or none: all columns of the one with the least text come along
+    one = mine.join(twice, id_col, "left_semi").groupBy(id_col).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.struct(F.col(text), F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)))).alias("__one")).select("__one.*")
+    return mine.join(twice, id_col, "left_anti").unionByName(one).unionByName(df.filter(F.col(id_col).isNull()))
