@@ -2,14 +2,14 @@
 
 Writing: the digests of all payloads are grouped (pre-aggregated) to find, for every payload of DEDUP bytes or more that
 occurs more than once, the record that keeps it; the others become revisits. The decisions join the pages by id, so a
-payload that a third of the pages share doesn't meet in one task. Each task then writes gzip archives, one member a
+payload that a third of the pages share doesn't meet in one task; where digests meet, hot ones are split. Each task then writes gzip archives, one member a
 record, and returns an index row for each record: archive, offset, length, URL, digest. The index is a table in the
 shared folder.
 
 Reading: the selected index rows, sorted by archive and offset, are read in ranges: neighbouring records whose gap is
 at most GAP come with one read of at most RANGE bytes. Each record is parsed, and its payload checked against the digest.
 
-Archives and index lie in the shared folder, so they outlive executors; a task that runs again writes archives with new
+Archives and index are the operator's product and stay; they lie in the shared folder, so they outlive executors; a task that runs again writes archives with new
 names, and only those of the attempt that succeeds are in the index. Archives are written through pyarrow's file
 systems (file, hdfs, s3, gs).
 
@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, salted_join
 
 DEDUP, ARCHIVE, GAP, RANGE, BLOCK = 1000, 256 << 20, 64 << 10, 8 << 20, 32 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -132,9 +132,9 @@ def write(df: DataFrame, scratch: Scratch, id_col: str = "page_id", url: str = "
     kind = df.schema[id_col].dataType.simpleString()
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     pages = df.select(F.col(id_col).alias("id"), F.col(url).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
-    large = pages.filter(F.octet_length("payload") >= DEDUP).select("id", "digest")
+    large = scratch.write(pages.filter(F.octet_length("payload") >= DEDUP).select("id", "digest"), "digests")
     many = large.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null")
-    revisits = large.join(many, "digest").filter("not id <=> refers_to").select("id", "digest", "refers_to").distinct()
+    revisits = salted_join(large, scratch.write(many, "shared"), "digest", "id", scratch).filter("not id <=> refers_to").select("id", "digest", "refers_to").distinct()
     joined = pages.join(
         revisits.select(F.col("id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to"),
         F.col("id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")),
