@@ -235,17 +235,6 @@ def test_html(spark):
     assert html_text.main_text("plain <b>text</b><p>3 &lt; 5 < 6 <div cl") == "plain text 3 < 5 < 6"
 
 
-def test_style_tree_removes_what_all_pages_of_a_host_share(spark):
-    note = "<div class=z>Please support this site with a gift</div>"
-    pages = [(k, f"http://h/{k}", f"<article><h1>t{k}</h1>{note}<p>{' '.join(f'w{k}{i}' for i in range(30))}</p></article>") for k in range(12)]
-    pages += [(100 + k, f"http://copies/{k}", f"<article><p>same text everywhere</p></article><!-- {k} -->") for k in range(12)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    for limit in (1000, 0):  # the broadcast and the join
-        got = {r["page_id"]: r["text"] for r in html_text.extract(df, broadcast=limit).collect()}
-        assert all("support" not in got[k] and got[k].startswith(f"t{k} w{k}0") for k in range(12))
-        assert all(got[100 + k] == "same text everywhere" for k in range(12))
-
-
 def test_licenses(spark, texts):
     ix = licenses.index(spark)
     templates = {name: (set(s), ix.sizes[c]) for name, c, s, _ in ix.rows}
