@@ -1,8 +1,9 @@
 """From raw documents to packed training sequences, in stages that are each written as Parquet and read again.
 
-A null text is rejected by the quality rules; texts in no learned language
-by language ID, unless there is none; rows without an id pass the near-duplicate stage as they are; repeated
-rows with an id are one document there. Empty tables stay empty; further columns go through all stages but the last.
+A null text is rejected by the quality rules; texts in no learned language by language ID, unless there is none, which
+also gives its prediction to rows whose lang is null; rows without an id pass the near-duplicate stage as they are; of
+repeated rows with an id, and of rows that share one, one stays there. PII brings n_chars, where there is one, up to date.
+Empty tables stay empty; further columns go through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    out = pii.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can't express the stages; tests hold each against a brute-force version.
+#: SQL can't express the stages after the first; ``tests/llm/test_pipeline.py`` holds each against a brute-force version.
 ORACLE_SQL = None
 
 
