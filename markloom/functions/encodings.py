@@ -1,17 +1,13 @@
-"""Encodings of documents by their labels on the web, and the charset a document declares.
+"""Encodings of documents by their labels on the web.
 
-Documents are tokenized in UTF-8: other encodings are decoded first, and the output is encoded again, with numeric
-references for what the encoding lacks. Encodings that aren't supersets of ASCII are rejected.
+A codec decodes names and texts of a document and encodes what is inserted; bytes that nothing touches are never decoded.
+Encodings that aren't supersets of ASCII are rejected, since markup is found by its bytes.
 """
 
 from __future__ import annotations
 
-import codecs
 import re
-
-from ..operators.relations import Options
-from ..operators.rewriter import Rewriting, rewrite_document
-from ..operators.tokenizer import tokenize
+from dataclasses import dataclass
 
 #: Names in the encoding standard with Python's codecs; others are named alike (fixed values).
 CODECS = {
@@ -37,54 +33,59 @@ def encoding_for(label: str) -> str | None:
     return s if s in CODECS else None
 
 
-def _user_decode(data: bytes) -> str:
-    return "".join(chr(b) if b < 128 else chr(0xF700 + b) for b in data)
+@dataclass(frozen=True)
+class Codec:
+    """An encoding by its name in the encoding standard."""
+
+    name: str = "utf-8"
+
+    def decode(self, data: bytes) -> str:
+        """Malformed bytes become U+FFFD."""
+        if self.name == "x-user-defined":
+            return "".join(chr(b) if b < 128 else chr(0xF700 + b) for b in data)
+        return data.decode(CODECS[self.name], "replace")
+
+    def encode(self, text: str) -> bytes:
+        """What the encoding lacks becomes a numeric reference."""
+        if self.name == "utf-8":
+            return text.encode("utf-8", "replace")
+        if self.name == "x-user-defined":
+            return b"".join(bytes([ord(c)]) if ord(c) < 128 else bytes([ord(c) - 0xF700]) if 0xF780 <= ord(c) <= 0xF7FF else b"&#%d;" % ord(c) for c in text)
+        return text.encode(CODECS[self.name], "xmlcharrefreplace")
+
+    def has(self, text: str) -> bool:
+        """Whether the encoding has all characters of a text."""
+        if self.name == "x-user-defined":
+            return all(ord(c) < 128 or 0xF780 <= ord(c) <= 0xF7FF for c in text)
+        try:
+            text.encode(CODECS[self.name])
+        except UnicodeEncodeError:
+            return False
+        return True
 
 
-def decode(data: bytes, encoding: str) -> str:
-    if encoding == "x-user-defined":
-        return _user_decode(data)
-    return codecs.decode(data, CODECS[encoding], "replace")
+UTF8 = Codec()
 
 
-def encode(text: str, encoding: str) -> bytes:
-    if encoding == "x-user-defined":
-        return b"".join(bytes([ord(c)]) if ord(c) < 128 else bytes([ord(c) - 0xF700]) if 0xF780 <= ord(c) <= 0xF7FF else b"&#%d;" % ord(c) for c in text)
-    return text.encode(CODECS[encoding], "xmlcharrefreplace")
+def codec_for(label: str) -> Codec:
+    """The codec of a label; raises ValueError where :func:`encoding_for` finds none."""
+    if label == "utf-8":
+        return UTF8
+    if (name := encoding_for(label)) is None:
+        raise ValueError(f"{label!r} is unknown or isn't a superset of ASCII")
+    return Codec(name)
 
 
 _MIME_CHARSET = re.compile(r";\s*charset\s*=\s*\"?([^\s;\"]+)", re.I)
 
 
-def declared_charset(data: bytes) -> tuple[str, int] | None:
-    """(encoding, end of the tag) of the first valid ``<meta charset>`` or ``http-equiv=content-type``."""
-    for t in tokenize(data, strict=False):
-        if t.kind != "start_tag" or t.name != "meta":
-            continue
-        values: dict[str, str] = {}
-        for a in t.attrs:
-            values.setdefault(a.name, a.value)
-        label = values.get("charset")
-        if label is None and values.get("http-equiv", "").lower() == "content-type":
-            m = _MIME_CHARSET.search(values.get("content", ""))
-            label = m[1] if m else None
-        if label is not None and (found := encoding_for(label)):
-            return found, t.end
-    return None
-
-
-def rewrite_bytes(data: bytes, how: Rewriting, encoding: str = "utf-8", adjust_to_meta: bool = False, options: Options = Options(), graceful: bool = False) -> tuple[bytes, str, tuple[str, str] | None]:
-    """(output, encoding of its last part, error) of a document in ``encoding``; with ``adjust_to_meta`` what follows the
-    first declaration is read and written in the declared encoding."""
-    now = encoding_for(encoding)
-    if now is None:
-        raise ValueError(f"{encoding!r} is unknown or isn't a superset of ASCII")
-    found = declared_charset(data) if adjust_to_meta else None
-    after, cut = found or (now, len(data))
-    if (now, after) == ("utf-8", "utf-8"):
-        out, error = rewrite_document(data, how, options, graceful)
-        return out, "utf-8", error
-    head, tail = decode(data[:cut], now), decode(data[cut:], after)
-    text = (head + tail).encode("utf-8", "replace")
-    out, error = rewrite_document(text, how, options, graceful)
-    return encode(out.decode("utf-8", "replace"), after), after, error
+def declared_in(attributes: list[tuple[str, str]]) -> str | None:
+    """The encoding that a ``<meta>`` with these attributes declares, by ``charset`` or ``http-equiv=content-type``."""
+    values: dict[str, str] = {}
+    for name, value in attributes:
+        values.setdefault(name, value)
+    label = values.get("charset")
+    if label is None and values.get("http-equiv", "").lower() == "content-type":
+        m = _MIME_CHARSET.search(values.get("content", ""))
+        label = m[1] if m else None
+    return encoding_for(label) if label is not None else None

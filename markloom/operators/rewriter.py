@@ -4,25 +4,29 @@ Untouched tokens are passed through byte for byte; touched ones are written agai
 content before it, its replacement, content after it, whether it is removed. An element's edits at its end wait for the
 end tag that pops it, and are lost if none comes. Rules are handlers made from data. All of it runs inside one Arrow
 pass over the documents, without a shuffle; a document that fails is reported in its row.
+
+A document may come in pieces: :class:`Rewriter` gives out what each piece settles, and holds the open elements, the edits
+due at their ends, and an unfinished token. What is inserted is written in the document's encoding.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .relations import Options, spread
+from ..functions.encodings import Codec, encoding_for
+from .relations import Active, Options, spread
 from .selectors import Matcher, parse
-from .tokenizer import NAMESPACES, AmbiguityError, Attribute, Token, lower, tokenize
+from .tokenizer import _LOWER, NAMESPACES, STACK_ITEM, AmbiguityError, Attribute, MemoryLimitError, Stack, Token, placed, scan
 
 
 class RewriteError(ValueError):
-    """``kind``: ContentHandlerError, ParsingAmbiguity, MemoryLimitExceeded, or that of a rejected name or text."""
+    """``kind``: ContentHandlerError, ParsingAmbiguity, MemoryLimitExceeded, Stopped, Poisoned, or that of a rejected name or text."""
 
     def __init__(self, kind: str, message: str):
         super().__init__(message)
@@ -30,7 +34,7 @@ class RewriteError(ValueError):
 
 
 class Stop(Exception):
-    """Raised by a handler that wants the rewriting to end."""
+    """Raised (or returned, as the class) by a handler that wants the rewriting to end at once."""
 
 
 def escape_text(s: str) -> str:
@@ -67,33 +71,42 @@ class Sink:
         self.parts.append(s if html else escape_text(s))
 
 
-def _content(content, html: bool) -> str:
-    if isinstance(content, str):
-        return content if html else escape_text(content)
-    sink = Sink()
-    content(sink)
-    if sink.rest:
-        raise RewriteError("InvalidUtf8", "a chunk of UTF-8 ends inside a character")
-    return "".join(sink.parts)
+def _content(content, html: bool):
+    """Text as it will be written; what a producer writes is asked for when its place in the output has come."""
+    return (escape_text(content) if not html else content) if isinstance(content, str) else content
+
+
+def _written(parts: list) -> str:
+    out = []
+    for part in parts:
+        if not isinstance(part, str):
+            sink = Sink()
+            part(sink)
+            if sink.rest:
+                raise RewriteError("InvalidUtf8", "a chunk of UTF-8 ends inside a character")
+            part = "".join(sink.parts)
+        out.append(part)
+    return "".join(out)
 
 
 class Slots:
     __slots__ = ("before", "after", "replacement", "removed")
 
     def __init__(self):
-        self.before: list[str] = []
-        self.after: list[str] = []
-        self.replacement: list[str] = []
+        self.before: list = []
+        self.after: list = []
+        self.replacement: list = []
         self.removed = False
 
-    def replace(self, s: str) -> None:
+    def replace(self, s) -> None:
         self.replacement, self.removed = [s], True
 
-    def wrap(self, own: bytes) -> bytes:
+    def wrap(self, own: bytes, codec: Codec) -> bytes:
         if not (self.before or self.after or self.removed):
             return own
-        mid = "".join(self.replacement).encode() if self.removed else own
-        return "".join(self.before).encode() + mid + "".join(self.after).encode()
+        before = codec.encode(_written(self.before))
+        mid = codec.encode(_written(self.replacement)) if self.removed else own
+        return before + mid + codec.encode(_written(self.after))
 
 
 class Unit:
@@ -123,6 +136,12 @@ class Unit:
         self._slots.removed = True
 
 
+def _encodable(s: str, codec: Codec) -> None:
+    """Names and comments can't hold references, so what the encoding lacks can't be in them."""
+    if not codec.has(s):
+        raise RewriteError("UnencodableCharacter", f"{s!r} has a character that {codec.name} lacks")
+
+
 class Comment(Unit):
     def __init__(self, token: Token):
         super().__init__(token)
@@ -130,16 +149,17 @@ class Comment(Unit):
 
     @property
     def text(self) -> str:
-        return self._token.text.decode("utf-8", "replace") if self._text is None else self._text
+        return self._token.said if self._text is None else self._text
 
     @text.setter
     def text(self, s: str) -> None:
         if "-->" in s or "--!>" in s or s.startswith((">", "->")):
             raise RewriteError("CommentClosingSequence", "the text would end the comment")
+        _encodable(s, self._token.codec)
         self._text = s
 
     def _own(self, raw: bytes) -> bytes:
-        return raw if self._text is None else f"<!--{self._text}-->".encode()
+        return raw if self._text is None else b"<!--" + self._token.codec.encode(self._text) + b"-->"
 
 
 class Text(Unit):
@@ -147,7 +167,7 @@ class Text(Unit):
 
     def __init__(self, token: Token, text: str, last: bool):
         super().__init__(token)
-        self._text, self._set, self.last_in_text_node = text, False, last
+        self._text, self.last_in_text_node = text, last
         self.text_type = token.text_type
 
     @property
@@ -156,10 +176,11 @@ class Text(Unit):
 
     @text.setter
     def text(self, s: str) -> None:
-        self._text, self._set = s, True
+        self._text = s
 
     def _own(self, raw: bytes) -> bytes:
-        return self._text.encode() if self._set else raw
+        """A text that a handler has seen is written again: what is malformed in it was seen, and is written, as U+FFFD."""
+        return self._token.codec.encode(self._text)
 
 
 class Doctype(Unit):
@@ -178,18 +199,19 @@ class EndTag(Unit):
 
     @property
     def name(self) -> str:
-        return lower(self.name_preserve_case.encode())
+        return self.name_preserve_case.translate(_LOWER)
 
     @name.setter
     def name(self, s: str) -> None:
+        _encodable(s, self._token.codec)
         self._name = s
 
     @property
     def name_preserve_case(self) -> str:
-        return self._token.name_raw.decode("utf-8", "replace") if self._name is None else self._name
+        return self._token.name_shown if self._name is None else self._name
 
     def _own(self, raw: bytes) -> bytes:
-        return raw if self._name is None else f"</{self._name}>".encode()
+        return raw if self._name is None else b"</" + self._token.codec.encode(self._name) + b">"
 
 
 class StartTag(Unit):
@@ -205,22 +227,24 @@ class StartTag(Unit):
 
     @property
     def name(self) -> str:
-        return lower(self.name_preserve_case.encode())
+        return self.name_preserve_case.translate(_LOWER)
 
     @name.setter
     def name(self, s: str) -> None:
+        _encodable(s, self._token.codec)
         self._name, self._edited = s, True
 
     @property
     def name_preserve_case(self) -> str:
-        return self._token.name_raw.decode("utf-8", "replace") if self._name is None else self._name
+        return self._token.name_shown if self._name is None else self._name
 
     def set_attribute(self, name: str, value: str) -> None:
         if not name:
             raise RewriteError("EmptyAttributeName", "an attribute needs a name")
         if bad := re.search(r"[ \n\r\t\f/>=]", name):
             raise RewriteError("ForbiddenCharacterInAttributeName", f"{bad[0]!r} can't be part of an attribute's name")
-        attrs, key = self.attributes, lower(name.encode())
+        _encodable(name, self._token.codec)
+        attrs, key = self.attributes, name.translate(_LOWER)
         for k, a in enumerate(attrs):
             if a.name == key:
                 attrs[k] = Attribute(a.name, a.name_raw, value, None, a.name_start, a.value_start)
@@ -230,7 +254,7 @@ class StartTag(Unit):
         self._attrs, self._edited = attrs, True
 
     def remove_attribute(self, name: str) -> None:
-        key = lower(name.encode())
+        key = name.translate(_LOWER)
         kept = [a for a in self.attributes if a.name != key]
         if len(kept) < len(self.attributes):
             self._attrs, self._edited = kept, True
@@ -238,9 +262,10 @@ class StartTag(Unit):
     def _own(self, raw: bytes) -> bytes:
         if not self._edited:
             return raw
-        out = [b"<", self._token.name_raw if self._name is None else self._name.encode()]
+        encode = self._token.codec.encode
+        out = [b"<", self._token.name_raw if self._name is None else encode(self._name)]
         for a in self.attributes:
-            out += [b" ", a.raw if a.raw is not None else f'{a.name_raw}="{escape_attribute(a.value)}"'.encode()]
+            out += [b" ", a.raw if a.raw is not None else encode(f'{a.name_raw}="{escape_attribute(a.value)}"')]
         out.append((b" />" if self.attributes else b"/>") if self._closing else b">")
         return b"".join(out)
 
@@ -286,7 +311,7 @@ class Element:
         return self.start_tag.removed
 
     def get_attribute(self, name: str) -> str | None:
-        key = lower(name.encode())
+        key = name.translate(_LOWER)
         return next((a.value for a in self.attributes if a.name == key), None)
 
     def has_attribute(self, name: str) -> bool:
@@ -365,12 +390,17 @@ class Element:
             if self._end_name is not None:
                 tag.name = self._end_name
         for h in self._handlers:
-            h(tag)
+            _run(h, tag)
+
+
+def _run(handler: Callable, unit) -> None:
+    if handler(unit) is Stop:
+        raise Stop
 
 
 class DocumentEnd:
     def __init__(self):
-        self._parts: list[str] = []
+        self._parts: list = []
 
     def append(self, content: Content, html: bool = False) -> None:
         self._parts.append(_content(content, html))
@@ -446,112 +476,196 @@ def _handler(r: Rule) -> Callable:
     return run
 
 
-def rewrite_document(html: bytes, how: Rewriting, options: Options = Options(), graceful: bool = False) -> tuple[bytes, tuple[str, str] | None]:
-    """(output, error). After an error the output ends where it occurred; with ``graceful``, an error of a handler or of
-    the budget leaves the rest of the document as it is, after what the bail-out handlers append."""
-    out: list[bytes] = []
-    at = 0
-    matcher = Matcher([s for s, *_ in how.selected])
-    edited: dict[int, Element] = {}  # open elements with something due at their end
-    active: dict[int, list[int]] = {}
-    hidden: set[int] = set()
-
-    def emit(data: bytes) -> None:
-        if not hidden:
-            out.append(data)
-
-    def inside(k: int) -> list[Callable]:
-        numbers = sorted({n for found in active.values() for n in found})
-        return [how.selected[n][k] for n in numbers if how.selected[n][k]]
-
-    def of_document(name: str) -> list[Callable]:
-        return [d[name] for d in how.document if d[name]]
-
-    def step(t: Token) -> None:
-        raw = html[t.start : t.end]
+class Rewriter:
+    """Rewrites one document that comes in pieces.
+
+    ``write`` and ``end`` return what can be given out. After an error, ``error`` is (kind, message), and what they returned
+    ends where it occurred; with ``graceful`` (True, or "memory" or "handlers" for errors of that kind only), all bytes taken
+    so far follow as they are, after what the bail-out handlers append, and ``passing`` says that the caller may go on with
+    the bytes that come. A rewriter with an error takes no more bytes. ``encodings`` lists (bytes given out before, encoding).
+    """
+
+    def __init__(self, how: Rewriting, options: Options = Options(), graceful: bool | str = False, text: bool = False):
+        self.how, self.options, self.graceful = how, options, graceful
+        self.context = options.context(text)
+        self.matcher = Matcher([s for s, *_ in how.selected])
+        self.stack = Stack(options.esi, False, options.max_memory if how.selected else None)
+        self.active = Active(len(how.selected))
+        self.edited: dict[int, Element] = {}  # open elements with something due at their end
+        self.hidden: set[int] = set()
+        self.error: tuple[str, str] | None = None
+        self.passing = self.ended = False
+        self.encodings = [(0, self.context.codec.name)]
+        self._held, self._base, self._given, self._open_text = b"", 0, 0, None
+        self._out: list[bytes] = []
+
+    # -- state between pieces: handlers made from rules are made again
+    def detach(self) -> None:
+        self.how = None
+
+    def attach(self, how: Rewriting) -> None:
+        self.how = how
+
+    def write(self, piece: bytes) -> bytes:
+        return self._take(self._held + piece, False)
+
+    def end(self) -> bytes:
+        return self._take(self._held, True)
+
+    def _emit(self, data: bytes) -> None:
+        if data and not self.hidden:
+            self._out.append(data)
+            self._given += len(data)
+
+    def _handlers(self, k: int, name: str) -> list[Callable]:
+        """Those on selectors, then those on the document."""
+        inside = [self.how.selected[n][k] for n in self.active.numbers() if self.how.selected[n][k]] if self.active.elements else []
+        return inside + [d[name] for d in self.how.document if d[name]]
+
+    def _take(self, data: bytes, final: bool) -> bytes:
+        if self.error or self.ended:
+            raise RewriteError("Poisoned", "a rewriter takes nothing after its end or an error")
+        self._out, self._at, self._data = [], 0, data
+        limits = self.options
+        try:
+            if limits.max_bytes is not None and self._base + len(data) > limits.max_bytes:
+                raise MemoryLimitError(f"the document has more than {limits.max_bytes} bytes")
+            for t in placed(scan(data, self.context, final), self.stack):
+                end = t.end
+                self._step(t)
+                self._at = end
+            self._held = data[self.context.held :] if not final else b""
+            self._base += len(data) - len(self._held)
+            if limits.max_memory is not None and self._held and len(self._held) + (len(self.stack.ids) * STACK_ITEM if self.how.selected else 0) > limits.max_memory:
+                self._at = len(data) - len(self._held)
+                raise MemoryLimitError(f"what is held of the document needs more than {limits.max_memory} bytes")
+            if final:
+                self._finish()
+        except AmbiguityError as e:
+            self.error = ("ParsingAmbiguity", str(e))
+        except Stop:
+            self.error = ("Stopped", "a handler ended the rewriting")
+        except MemoryLimitError as e:
+            self._bail("MemoryLimitExceeded", str(e))
+        except Exception as e:  # of a handler
+            self._bail("ContentHandlerError", f"{type(e).__name__}: {e}")
+        return b"".join(self._out)
+
+    def _bail(self, kind: str, message: str) -> None:
+        self.error = (kind, message)
+        if self.graceful is True or self.graceful == ("memory" if kind == "MemoryLimitExceeded" else "handlers"):
+            self.passing = True
+            end = DocumentEnd()
+            for h in [d["bail_out"] for d in self.how.document if d["bail_out"]]:
+                h(end)
+            self.hidden.clear()
+            self._emit(self.context.codec.encode(_written(end._parts)))
+            self._emit(self._data[self._at :])
+            self._held = b""
+
+    def _finish(self) -> None:
+        self._at = len(self._data)
+        self._last_text()
+        end = DocumentEnd()
+        for h in [d["end"] for d in self.how.document if d["end"]]:
+            _run(h, end)
+        self.hidden.clear()
+        self._emit(self.context.codec.encode(_written(end._parts)))
+        self.ended = True
+
+    def _last_text(self) -> None:
+        t, self._open_text = self._open_text, None
+        if t is not None and (handlers := self._handlers(3, "text")):
+            last = Text(t, "", True)
+            for h in handlers:
+                _run(h, last)
+            self._emit(last._slots.wrap(last._own(b""), t.codec))
+
+    def _step(self, t: Token) -> None:
+        raw = self._data[t.start : t.end]
+        if self._base:
+            t.start, t.end = t.start + self._base, t.end + self._base
+            for a in t.attrs or ():
+                a.name_start, a.value_start = a.name_start + self._base, a.value_start + self._base
+        if t.kind != "text" and self._open_text is not None:
+            self._last_text()
         if t.kind == "start_tag":
-            found = matcher.start_tag(t)
-            element = None
-            for n in found:
-                if handler := how.selected[n][1]:
-                    element = element or Element(t)
-                    handler(element)
-            if element:
-                emit(element.start_tag._slots.wrap(element.start_tag._own(raw)))
-                if t.content:
-                    if element._drop_content:
-                        hidden.add(t.elem_id)
-                    if element._end_edited or element._handlers:
-                        edited[t.elem_id] = element
-            else:
-                emit(raw)
-            if t.content and found:
-                active[t.elem_id] = found
+            self._start(t, raw)
+            if self.context.codec.name != self.encodings[-1][1]:
+                self.encodings.append((self._given, self.context.codec.name))
         elif t.kind == "end_tag":
-            matcher.end_tag(t)
-            due = []
-            for e in t.popped:
-                hidden.discard(e)
-                active.pop(e, None)
-                if e in edited:
-                    due.append(edited.pop(e))
-            if due:
-                tag = EndTag(t)
-                for element in reversed(due):
-                    element._at_end(tag)
-                emit(tag._slots.wrap(tag._own(raw)))
-            else:
-                emit(raw)
+            self._end(t, raw)
         elif t.kind == "text":
-            handlers = inside(3) + of_document("text")
-            if handlers:
-                chunk, last = Text(t, t.text.decode("utf-8", "replace"), False), Text(t, "", True)
-                for part, own in ((chunk, raw), (last, b"")):
-                    for h in handlers:
-                        h(part)
-                    emit(part._slots.wrap(part._own(own)))
+            if handlers := self._handlers(3, "text"):
+                chunk = Text(t, t.said, False)
+                for h in handlers:
+                    _run(h, chunk)
+                self._emit(chunk._slots.wrap(chunk._own(raw), t.codec))
             else:
-                emit(raw)
+                self._emit(raw)
+            self._at = t.end - self._base
+            self._open_text = t
+            if not t.partial:
+                self._last_text()
         elif t.kind in ("comment", "doctype"):
-            handlers = inside(2) + of_document("comments") if t.kind == "comment" else of_document("doctype")
+            handlers = self._handlers(2, "comments") if t.kind == "comment" else [d["doctype"] for d in self.how.document if d["doctype"]]
             if handlers:
                 unit = Comment(t) if t.kind == "comment" else Doctype(t)
                 for h in handlers:
-                    h(unit)
-                emit(unit._slots.wrap(unit._own(raw)))
+                    _run(h, unit)
+                self._emit(unit._slots.wrap(unit._own(raw), t.codec))
             else:
-                emit(raw)
+                self._emit(raw)
+        else:
+            self._emit(raw)
+
+    def _start(self, t: Token, raw: bytes) -> None:
+        found = self.matcher.start_tag(t)
+        element = None
+        for n in found:
+            if handler := self.how.selected[n][1]:
+                element = element or Element(t)
+                _run(handler, element)
+        if element:
+            self._emit(element.start_tag._slots.wrap(element.start_tag._own(raw), t.codec))
+            if t.content:
+                if element._drop_content:
+                    self.hidden.add(t.elem_id)
+                if element._end_edited or element._handlers:
+                    self.edited[t.elem_id] = element
+        else:
+            self._emit(raw)
+        if t.content and found:
+            self.active.open(t.elem_id, found)
+
+    def _end(self, t: Token, raw: bytes) -> None:
+        self.matcher.end_tag(t)
+        due = []
+        for e in t.popped if self.edited or self.hidden else ():
+            self.hidden.discard(e)
+            if e in self.edited:
+                due.append(self.edited.pop(e))
+        self.active.close(t.popped)
+        if due:
+            tag = EndTag(t)
+            for element in reversed(due):
+                element._at_end(tag)
+            self._emit(tag._slots.wrap(tag._own(raw), t.codec))
         else:
-            emit(raw)
+            self._emit(raw)
 
-    def bail(kind: str, message: str) -> tuple[bytes, tuple[str, str]]:
-        if graceful:
-            end = DocumentEnd()
-            for h in of_document("bail_out"):
-                h(end)
-            out.extend(["".join(end._parts).encode(), html[at:]])
-        return b"".join(out), (kind, message)
-
-    if options.max_bytes is not None and len(html) > options.max_bytes:
-        return bail("MemoryLimitExceeded", f"the document has {len(html)} bytes; its budget is {options.max_bytes}")
-    try:
-        for t in tokenize(html, options.strict, options.esi):
-            try:
-                step(t)
-            except Exception as e:
-                return bail("ContentHandlerError", f"{type(e).__name__}: {e}")
-            at = t.end
-    except AmbiguityError as e:
-        return b"".join(out), ("ParsingAmbiguity", str(e))
-    end = DocumentEnd()
-    try:
-        for h in of_document("end"):
-            h(end)
-    except Exception as e:
-        return bail("ContentHandlerError", f"{type(e).__name__}: {e}")
-    hidden.clear()
-    emit("".join(end._parts).encode())
-    return b"".join(out), None
+
+def rewrite_document(html: bytes, how: Rewriting, options: Options = Options(), graceful: bool | str = False) -> tuple[bytes, tuple[str, str] | None]:
+    """(output, error) of a whole document, as by :class:`Rewriter`."""
+    out, _, error = rewrite_bytes(html, how, options, graceful)
+    return out, error
+
+
+def rewrite_bytes(html: bytes, how: Rewriting, options: Options = Options(), graceful: bool | str = False, text: bool = False) -> tuple[bytes, str, tuple[str, str] | None]:
+    """(output, encoding at its end, error) of a whole document."""
+    r = Rewriter(how, options, graceful, text)
+    out = r._take(html, True)
+    return out, r.context.codec.name, r.error
 
 
 def rewrite_str(html: str, how: Rewriting, esi: bool = True, strict: bool = True) -> str:
@@ -562,28 +676,42 @@ def rewrite_str(html: str, how: Rewriting, esi: bool = True, strict: bool = True
     return out.decode("utf-8", "replace")
 
 
-def rewrite(df: DataFrame, how: list[Rule] | Callable[[], Rewriting], id_col: str = "doc_id", html: str = "html", options: Options = Options(esi=True), graceful: bool = False) -> DataFrame:
-    """id, ``html_out``, ``error`` (kind, message) of each row. ``how``: rules, or a factory that is called for each
-    document, so that handlers may keep state across one. Null html gives null. After an error ``html_out`` is null,
-    unless ``graceful``."""
+def rewrite(
+    df: DataFrame, how: list[Rule] | Callable[[], Rewriting], id_col: str = "doc_id", html: str = "html", options: Options = Options(esi=True), graceful: bool | str = False, encoding_col: str | None = None
+) -> DataFrame:
+    """id, ``html_out``, ``encoding_out`` (at the output's end), ``error`` (kind, message) of each row.
+
+    ``how``: rules, or a factory that is called for each document, so that handlers may keep state across one. ``html_out``
+    has the type of ``html``: binary documents are read in the options' encoding, or that which ``encoding_col`` names in
+    their row (null: the options'; unknown: an error UnknownEncoding), and keep every byte that nothing touches. Null html
+    gives null. After an error ``html_out`` is null, unless ``graceful`` made it whole.
+    """
     if isinstance(how, list):
         rewriting(how)  # errors show while the plan is built
     kind = df.schema[id_col].dataType.simpleString()
+    is_text = df.schema[html].dataType.simpleString() != "binary"
+    made = pa.string() if is_text else pa.binary()
     error_type = pa.struct([("kind", pa.string()), ("message", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = rewriting(how) if isinstance(how, list) else None
         for batch in batches:
-            outs, errors = [], []
-            for doc in batch.column(1).to_pylist():
-                if doc is None:
-                    outs.append(None), errors.append(None)
-                    continue
-                data = doc.encode("utf-8", "replace") if isinstance(doc, str) else doc
-                out, bad = rewrite_document(data, shared or how(), options, graceful)
-                outs.append(out.decode("utf-8", "replace") if not bad or graceful else None)
-                errors.append({"kind": bad[0], "message": bad[1]} if bad else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(outs, pa.string()), pa.array(errors, error_type)], ["id", "html_out", "error"])
-
-    docs = df.select(F.col(id_col).alias("id"), F.col(html).alias("html"))
-    return spread(docs).mapInArrow(run, f"id {kind}, html_out string, error struct<kind:string,message:string>").withColumnRenamed("id", id_col)
+            outs, names, errors = [], [], []
+            for doc, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                out = name = bad = None
+                if doc is not None:
+                    own = options if label is None or is_text else replace(options, encoding=label)
+                    if encoding_for(own.encoding) is None:
+                        bad = ("UnknownEncoding", f"{own.encoding!r} is unknown or isn't a superset of ASCII")
+                    else:
+                        data = doc.encode("utf-8", "replace") if is_text else doc
+                        out, name, bad = rewrite_bytes(data, shared or how(), own, graceful, is_text)
+                        if bad and not (graceful is True or graceful == ("memory" if bad[0] == "MemoryLimitExceeded" else "handlers")):
+                            out = None
+                outs.append(out.decode("utf-8", "replace") if is_text and out is not None else out)
+                names.append(name), errors.append({"kind": bad[0], "message": bad[1]} if bad else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(outs, made), pa.array(names, pa.string()), pa.array(errors, error_type)], ["id", "html_out", "encoding_out", "error"])
+
+    label = F.col(encoding_col) if encoding_col else F.lit(None).cast("string")
+    docs = df.select(F.col(id_col).alias("id"), F.col(html).alias("html"), label.alias("label"))
+    return spread(docs).mapInArrow(run, f"id {kind}, html_out {'string' if is_text else 'binary'}, encoding_out string, error struct<kind:string,message:string>").withColumnRenamed("id", id_col)

@@ -20,20 +20,18 @@ FOLDED = frozenset(
     " enctype face frame hreflang http-equiv lang language link media method multiple nohref noresize noshade nowrap readonly rel rev"
     " rules scope scrolling selected shape target text type valign valuetype vlink".split()
 )
+#: Kinds of errors (fixed names), with what each means.
 ERRORS = {
-    "UnexpectedToken": "Unexpected token in selector.",
-    "UnexpectedEnd": "Unexpected end of selector.",
-    "MissingAttributeName": "Missing attribute name in attribute selector.",
-    "EmptySelector": "The selector is empty.",
-    "DanglingCombinator": "Dangling combinator in selector.",
-    "UnexpectedTokenInAttribute": "Unexpected token in the attribute selector.",
-    "UnsupportedPseudoClassOrElement": "Unsupported pseudo-class or pseudo-element in selector.",
-    "NestedNegation": "Nested negation in selector.",
-    "NamespacedSelector": "Selectors with explicit namespaces are not supported.",
-    "InvalidClassName": "Invalid or unescaped class name in selector.",
-    "EmptyNegation": "Empty negation in selector.",
-    "UnsupportedCombinator": "Unsupported combinator in selector.",
-    "UnsupportedSyntax": "Unsupported syntax in selector.",
+    "UnexpectedToken": "something stands where it can't",
+    "UnexpectedEnd": "it breaks off",
+    "MissingAttributeName": "an attribute test lacks its attribute",
+    "EmptySelector": "nothing is selected between the commas, or at all",
+    "DanglingCombinator": "a combinator joins nothing on one side",
+    "UnexpectedTokenInAttribute": "an attribute test isn't name, operator, value",
+    "UnsupportedPseudoClassOrElement": "this pseudo-class or pseudo-element can't be known while a document streams by",
+    "NamespacedSelector": "namespace prefixes have no meaning here",
+    "InvalidClassName": "a dot is followed by what can't be a class; escape it",
+    "UnsupportedCombinator": "only descendants and children can be matched going forward",
 }
 
 
@@ -41,7 +39,7 @@ class SelectorError(ValueError):
     """A selector that can't be parsed; ``kind`` is a key of ERRORS."""
 
     def __init__(self, kind: str, detail: str = ""):
-        super().__init__(f"{ERRORS[kind]} {detail}".strip())
+        super().__init__(f"{kind}: {ERRORS[kind]}" + (f" ({detail})" if detail else ""))
         self.kind = kind
 
 
@@ -83,6 +81,7 @@ _IDENT = re.compile(r"-?(?:[A-Za-z_\u0080-\U0010ffff]|\\[0-9A-Fa-f]{1,6}[ \n\r\t
 _HASH = re.compile(r"#((?:[-\w\u0080-\U0010ffff]|\\[0-9A-Fa-f]{1,6}[ \n\r\t\f]?|\\[^\n\r\f0-9A-Fa-f])+)")
 _ESCAPE = re.compile(r"\\(?:([0-9A-Fa-f]{1,6})[ \n\r\t\f]?|(.))", re.S)
 _STRING = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'', re.S)
+_COMMENT = re.compile(r"(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|\\.)|/\*.*?(?:\*/|\Z)", re.S)
 _NTH = re.compile(r"\s*(?:(even)|(odd)|([+-]?\d*)n\s*(?:([+-])\s*(\d+))?|([+-]?\d+))\s*$", re.I)
 
 
@@ -98,7 +97,7 @@ def _unescape(s: str) -> str:
 
 class _Parser:
     def __init__(self, text: str):
-        self.s, self.at = re.sub(r"/\*.*?\*/", "", text, flags=re.S), 0
+        self.s, self.at = _COMMENT.sub(lambda m: m[1] or "", text), 0
 
     def peek(self) -> str:
         return self.s[self.at : self.at + 1]
@@ -196,6 +195,8 @@ class _Parser:
                 v = self.ident()
                 if v is None:
                     raise SelectorError("InvalidClassName" if self.peek() else "UnexpectedEnd")
+                if self.peek() == "(":
+                    raise SelectorError("InvalidClassName", v + "(")
                 tests.append(Test("class", value=v))
             elif c == "[":
                 tests.append(self.attribute())
@@ -210,7 +211,7 @@ class _Parser:
         if self.peek() == "|":
             self.at += 1
         elif self.s.startswith("*|", self.at):
-            self.at += 2
+            raise SelectorError("NamespacedSelector", "*|")
         name = self.ident()
         if name is None:
             if not self.peek():
@@ -267,8 +268,6 @@ class _Parser:
             if end < 0:
                 raise SelectorError("UnexpectedEnd")
             inside = self.s[self.at : end]
-            if re.search(r"\bof\b", inside):
-                raise SelectorError("UnsupportedPseudoClassOrElement", name)
             m = _NTH.match(inside)
             if not m:
                 raise SelectorError("UnexpectedToken", inside)
@@ -287,7 +286,7 @@ class _Parser:
                 raise SelectorError("UnexpectedEnd")
             self.at += 1
             if any(len(chain) > 1 for chain in found):
-                raise SelectorError("UnsupportedCombinator")
+                raise SelectorError("UnsupportedPseudoClassOrElement", "combinators inside :not")
             return [_negate(t) for chain in found for t in chain[0].tests]
         raise SelectorError("UnsupportedPseudoClassOrElement", name)
 
@@ -403,6 +402,40 @@ class Matcher:
             del self.children[-len(t.popped) :], self.below[-len(t.popped) :]
 
 
+def _shown(t: Test) -> str:
+    if t.what in ("any", "none", "type"):
+        said = {"any": "*", "none": "|*", "type": t.name}[t.what]
+    elif t.what in ("id", "class"):
+        said = f"{'#' if t.what == 'id' else '.'}{t.value}"
+    elif t.what == "attr":
+        said = f"[{t.name}{t.op}{t.value!r}{' ' + t.fold if t.fold else ''}]" if t.op else f"[{t.name}]"
+    else:
+        said = f":{t.what.replace('_', '-')}({t.step}n{t.offset:+d})"
+    return f":not({said})" if t.negated else said
+
+
+def program(selectors: list[str]) -> list[tuple[int, int | None, str, str, list[int]]]:
+    """What the pass runs for several selectors: (node, node before, combinator, compound, selectors matched here)."""
+    m = Matcher([parse(s) for s in selectors])
+    before = {k: n for n, (_, then, _) in enumerate(m.nodes) for k in then}
+    return [(n, before.get(n), {"": "root", " ": "descendant", ">": "child"}[c.combinator], "".join(map(_shown, c.tests)), sorted(ids)) for n, (c, _, ids) in enumerate(m.nodes)]
+
+
+def explain(selectors: list[str]) -> str:
+    """The program of several selectors as an indented text; compounds that selectors share stand once."""
+    rows, depth, lines = program(selectors), {}, []
+
+    def add(parent: int | None, level: int) -> None:
+        for n, up, combinator, said, ids in rows:
+            if up == parent and n not in depth:
+                depth[n] = level
+                lines.append("  " * level + ("> " if combinator == "child" else "") + said + (f"  => {', '.join(map(str, ids))}" if ids else ""))
+                add(n, level + 1)
+
+    add(None, 0)
+    return "\n".join(lines)
+
+
 # -- as Catalyst predicates over elements
 
 

@@ -3,6 +3,10 @@
 It scans with compiled patterns and ``bytes.find``; context (text modes, namespaces, ambiguities) comes from tag names,
 as a tree builder's feedback would. Every byte belongs to exactly one token; ``raw`` tokens are markup that stands for
 nothing. Character references stay as they are, duplicate attributes are kept, end tags are never implied.
+
+A document may come in pieces: ``scan`` with ``final=False`` stops before what the next bytes could change and leaves its
+place in the context. Memory is linear in a document's depth: a token knows its depth and parent, and the whole path to it
+only while it is the current one.
 """
 
 from __future__ import annotations
@@ -11,6 +15,8 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from ..functions.encodings import UTF8, Codec, declared_in
+
 WS = rb" \n\r\t\x0c"
 _NAME = re.compile(rb"[^ \n\r\t\x0c/>]+")
 _GAP = re.compile(rb"[ \n\r\t\x0c/]*")
@@ -38,15 +44,22 @@ SVG_POINTS = frozenset("desc title foreignobject".split())
 NAMESPACES = {"html": "http://www.w3.org/1999/xhtml", "svg": "http://www.w3.org/2000/svg", "mathml": "http://www.w3.org/1998/Math/MathML"}
 
 
-def lower(name: bytes) -> str:
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def lower(name: bytes, codec: Codec = UTF8) -> str:
     """A name in lower case, A-Z only, decoded."""
-    return name.lower().decode("utf-8", "replace")
+    return name.lower().decode() if name.isascii() else codec.decode(name).translate(_LOWER)
 
 
 class AmbiguityError(ValueError):
     """A tag after which a tree builder could read the text in another mode."""
 
 
+class MemoryLimitError(ValueError):
+    """The open elements, or what is held back of a document in pieces, go beyond the document's limit."""
+
+
 @dataclass(slots=True)
 class Attribute:
     name: str
@@ -70,21 +83,44 @@ class Token:
     text: bytes | None = None
     text_type: str | None = None
     doctype: tuple[str | None, str | None, str | None, bool] | None = None
+    codec: Codec = UTF8
+    partial: bool = False  # a text that goes on
     # of the stack of open elements
     elem_id: int | None = None
-    anc: tuple[int, ...] = ()
+    parent: int | None = None
+    depth: int = 0
+    open: list[int] = field(default_factory=list, repr=False)  # the live stack's ids
     popped: tuple[int, ...] | None = None
     nth_child: int | None = None
     nth_of_type: int | None = None
     content: bool | None = None
     close_tok: int | None = None
 
+    @property
+    def anc(self) -> tuple[int, ...]:
+        """Ids of the elements around this token; true until the next token is asked for."""
+        return tuple(self.open[: self.depth])
+
+    @property
+    def said(self) -> str | None:
+        """The text, decoded."""
+        return None if self.text is None else self.codec.decode(self.text)
+
+    @property
+    def name_shown(self) -> str | None:
+        """The name as it stands in the document, decoded."""
+        return None if self.name_raw is None else self.codec.decode(self.name_raw)
+
 
 @dataclass
 class Context:
     """What tag names tell about the text that follows; small enough to be kept between chunks."""
 
     strict: bool = True
+    codec: Codec = UTF8
+    adjust: bool = False  # whether the first declared charset is taken
+    held: int = 0  # of a document in pieces: where the bytes begin that weren't taken
+    in_cdata: bool = False
     ns: list[str] = field(default_factory=lambda: ["html"])
     cdata: bool = False
     guard: tuple[str, int] = ("", 0)
@@ -178,34 +214,51 @@ class Context:
             self._leave()
 
 
+#: Bytes that an open element is taken to need, for limits.
+STACK_ITEM = 256
+
+
 class Stack:
-    """Open elements: identifiers, depth, child counters, and which end tag closes what."""
+    """Open elements: identifiers, depth, child counters, and which end tag closes what.
 
-    def __init__(self, esi: bool = False):
-        self.esi, self.next_id = esi, 0
+    ``closes`` keeps the start tags of open elements, so that they learn their end tags; ``limit`` is in bytes, at STACK_ITEM
+    for an open element.
+    """
+
+    def __init__(self, esi: bool = False, closes: bool = True, limit: int | None = None):
+        self.esi, self.next_id, self.limit = esi, 0, limit
         self.names: list[str] = []
         self.ids: list[int] = []
         self.open: dict[str, int] = {}
-        self.counters: list[tuple[list[int], dict[str, int]]] = [([0], {})]
-        self.path: tuple[int, ...] = ()
-        self.start_of: list[Token] = []
+        self.totals: list[int] = [0]
+        self.by_name: list[dict[str, int] | None] = [None]
+        self.start_of: list[Token] | None = [] if closes else None
+
+    def place(self, t: Token) -> None:
+        ids = self.ids
+        t.open, t.depth, t.parent = ids, len(ids), ids[-1] if ids else None
 
     def start_tag(self, t: Token) -> None:
-        t.elem_id, self.next_id = self.next_id, self.next_id + 1
-        t.anc = self.path
-        total, by_name = self.counters[-1]
-        total[0] += 1
-        t.nth_child = total[0]
-        t.nth_of_type = by_name[t.name] = by_name.get(t.name, 0) + 1
         if t.ns == "html":
             t.content = t.name not in VOID and not (self.esi and t.name_raw.decode("utf-8", "replace") in ESI_VOID)
         else:
             t.content = not t.self_closing
+        if t.content and self.limit is not None and (len(self.ids) + 1) * STACK_ITEM > self.limit:
+            raise MemoryLimitError(f"{len(self.ids) + 1} open elements need more than {self.limit} bytes")
+        self.place(t)
+        t.elem_id, self.next_id = self.next_id, self.next_id + 1
+        self.totals[-1] += 1
+        t.nth_child = self.totals[-1]
+        by_name = self.by_name[-1]
+        if by_name is None:
+            by_name = self.by_name[-1] = {}
+        t.nth_of_type = by_name[t.name] = by_name.get(t.name, 0) + 1
         if t.content:
-            self.names.append(t.name), self.ids.append(t.elem_id), self.start_of.append(t)
+            self.names.append(t.name), self.ids.append(t.elem_id)
+            if self.start_of is not None:
+                self.start_of.append(t)
             self.open[t.name] = self.open.get(t.name, 0) + 1
-            self.counters.append(([0], {}))
-            self.path = (*self.path, t.elem_id)
+            self.totals.append(0), self.by_name.append(None)
 
     def end_tag(self, t: Token, index: int) -> None:
         t.popped = ()
@@ -213,16 +266,18 @@ class Stack:
             k = len(self.names) - 1
             while self.names[k] != t.name:
                 k -= 1
-            for s in self.start_of[k:]:
-                s.close_tok = index
-                self.open[s.name] -= 1
+            for name in self.names[k:]:
+                self.open[name] -= 1
+            if self.start_of is not None:
+                for s in self.start_of[k:]:
+                    s.close_tok = index
+                del self.start_of[k:]
             t.popped = tuple(self.ids[k:])
-            del self.names[k:], self.ids[k:], self.start_of[k:], self.counters[k + 1 :]
-            self.path = self.path[:k]
-        t.anc = self.path
+            del self.names[k:], self.ids[k:], self.totals[k + 1 :], self.by_name[k + 1 :]
+        self.place(t)
 
 
-def _tag(html: bytes, at: int, name_at: int, closing: bool) -> tuple[Token | None, int, bool]:
+def _tag(html: bytes, at: int, name_at: int, closing: bool, codec: Codec) -> tuple[Token | None, int, bool]:
     """(token, end, value missing) of a tag; no token if it is cut off."""
     m = _NAME.match(html, name_at)
     raw = m[0]
@@ -263,17 +318,17 @@ def _tag(html: bytes, at: int, name_at: int, closing: bool) -> tuple[Token | Non
                     return None, n, False
         if not closing:
             shown = html[gap:name_end]
-            attrs.append(Attribute(lower(shown), shown.decode("utf-8", "replace"), html[v0:v1].decode("utf-8", "replace"), html[gap:raw_end], gap, v0))
+            attrs.append(Attribute(lower(shown, codec), codec.decode(shown), codec.decode(html[v0:v1]), html[gap:raw_end], gap, v0))
         if missing:
             closed = False
             break
-    t = Token("end_tag" if closing else "start_tag", at, p + 1, lower(raw), raw)
+    t = Token("end_tag" if closing else "start_tag", at, p + 1, lower(raw, codec), raw)
     if not closing:
         t.attrs, t.self_closing = attrs, closed
     return t, p + 1, missing
 
 
-def _doctype(html: bytes, at: int) -> tuple[Token, int]:
+def _doctype(html: bytes, at: int, codec: Codec) -> tuple[Token, int]:
     n, p = len(html), at + 9
     name = public = system = None
     quirks = False
@@ -286,22 +341,22 @@ def _doctype(html: bytes, at: int) -> tuple[Token, int]:
         """(value, position after it, whether it was closed): up to the quote or a >."""
         m = re.compile(rb"[^>" + html[q : q + 1] + rb"]*").match(html, q + 1)
         e = m.end()
-        return m[0].decode("utf-8", "replace"), e + (e < n and html[e] != 62), e < n and html[e] != 62
+        return codec.decode(m[0]), e + (e < n and html[e] != 62), e < n and html[e] != 62
 
     p = _BLANKS.match(html, p).end()
     stop = end(p)
     if p >= n or html[p] == 62:
         return Token("doctype", at, stop, doctype=(None, None, None, True)), stop
     m = re.compile(rb"[^ \n\r\t\x0c>]+").match(html, p)
-    name = lower(m[0])
+    name = lower(m[0], codec)
     p = _BLANKS.match(html, m.end()).end()
     if p >= n:
         quirks = True
     elif html[p] != 62:
         word = html[p : p + 6].upper()
-        p += 6
         ok = word in (b"PUBLIC", b"SYSTEM")
         if ok:
+            p += 6
             q = _BLANKS.match(html, p).end()
             if q < n and html[q] in b"\"'":
                 value, p, ok = quoted(q)
@@ -325,41 +380,70 @@ def _doctype(html: bytes, at: int) -> tuple[Token, int]:
     return Token("doctype", at, stop, doctype=(name, public, system, quirks)), stop
 
 
-def tokenize(html: bytes, strict: bool = True, esi: bool = False) -> Iterator[Token]:
-    """The tokens of a document in order. Raises AmbiguityError, after the tokens before the tag."""
-    ctx, stack = Context(strict), Stack(esi)
-    index = 0
-    for t in scan(html, ctx):
+def tokenize(html: bytes, strict: bool = True, esi: bool = False, ctx: Context | None = None, stack: Stack | None = None) -> Iterator[Token]:
+    """The tokens of a document in order. Raises AmbiguityError or MemoryLimitError, after the tokens before the tag."""
+    ctx, stack = ctx or Context(strict), stack or Stack(esi)
+    yield from placed(scan(html, ctx), stack)
+
+
+def placed(tokens: Iterator[Token], stack: Stack, index: int = 0) -> Iterator[Token]:
+    """Gives tokens their place in the stack; ``index`` is the first one's number."""
+    for t in tokens:
         if t.kind == "start_tag":
             stack.start_tag(t)
         elif t.kind == "end_tag":
             stack.end_tag(t, index)
         else:
-            t.anc = stack.path
+            stack.place(t)
         index += 1
         yield t
 
 
-def scan(html: bytes, ctx: Context) -> Iterator[Token]:
+_SPACES = re.compile(rb"[ \n\r\t\x0c]")
+
+
+def _cut(html: bytes, start: int, end: int) -> int:
+    """Where a text that goes on may be cut: after its last white space, which is no part of a character in any encoding."""
+    return max(html.rfind(c, start, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0c")) + 1 or start
+
+
+def scan(html: bytes, ctx: Context, final: bool = True) -> Iterator[Token]:
+    """The tokens of ``html`` in the state ``ctx``. With ``final=False`` more bytes follow: what they could change isn't taken,
+    and ``ctx.held`` is where that begins."""
     n, at, run, run_label = len(html), 0, 0, ctx.label
-    in_cdata = False
+    in_cdata = ctx.in_cdata
+    ctx.held = n
 
-    def text(upto: int) -> Token | None:
-        return Token("text", run, upto, text=html[run:upto], text_type=run_label) if upto > run else None
+    def text(upto: int, partial: bool = False) -> Token | None:
+        return Token("text", run, upto, text=html[run:upto], text_type=run_label, codec=ctx.codec, partial=partial) if upto > run else None
+
+    def hold(p: int, cut: bool = True) -> Token | None:
+        """More bytes are needed from ``p`` on: the text before it is given out as far as it can't change."""
+        ctx.held = p if not cut else max(run, _cut(html, run, p)) if p == n else p
+        return text(ctx.held, True)
 
     while at < n:
         # the next markup, by mode
         if in_cdata:
             p = html.find(b"]]>", at)
             if p < 0:
+                if not final:
+                    if t := hold(n):
+                        yield t
+                    return
                 break
             if t := text(p):
                 yield t
-            yield Token("raw", p, p + 3)
-            in_cdata, at, run = False, p + 3, p + 3
+            ctx.in_cdata = in_cdata = False
+            at = run = p + 3
             ctx.label = run_label = "Data"
+            yield Token("raw", p, p + 3)
             continue
         if ctx.mode == "PlainText":
+            if not final:
+                if t := hold(n):
+                    yield t
+                return
             break
         if ctx.mode == "ScriptData":
             p, q, escaped = -1, at, 0
@@ -383,16 +467,30 @@ def scan(html: bytes, ctx: Context) -> Iterator[Token]:
                 elif m[1]:
                     escaped = 1
             if p < 0:
+                if not final:  # a script is held back as a whole
+                    ctx.held = run
+                    return
                 break
         elif ctx.mode in ("RCData", "RawText"):
             m = re.compile(rb"</" + ctx.last_start.encode() + rb"(?=[ \n\r\t\x0c/>])", re.I).search(html, at)
             if not m:
+                if not final:
+                    ctx.held = run
+                    return
                 break
             p = m.start()
         else:
             p = html.find(b"<", at)
             if p < 0:
+                if not final:
+                    if t := hold(n):
+                        yield t
+                    return
                 break
+        if not final and not _complete(html, p, ctx):
+            if t := hold(p):
+                yield t
+            return
         c = html[p + 1] if p + 1 < n else -1
         if c in _ALPHA:
             closing, name_at = False, p + 1
@@ -411,7 +509,7 @@ def scan(html: bytes, ctx: Context) -> Iterator[Token]:
                 else:
                     e = html.find(b">", p + 2)
                     at = run = n if e < 0 else e + 1
-                    yield Token("comment", p, at, text=html[p + 2 : n if e < 0 else e])
+                    yield Token("comment", p, at, text=html[p + 2 : n if e < 0 else e], codec=ctx.codec)
                 run_label = ctx.label
                 continue
         elif c == 33 or c == 63:
@@ -432,38 +530,66 @@ def scan(html: bytes, ctx: Context) -> Iterator[Token]:
                         at = n
                         cut = _COMMENT_CUT.search(html, s)
                         e = cut.start() if cut else n
-                yield Token("comment", p, at, text=html[s:e])
+                yield Token("comment", p, at, text=html[s:e], codec=ctx.codec)
             elif c == 33 and html[p + 2 : p + 9].upper() == b"DOCTYPE":
-                t, at = _doctype(html, p)
+                t, at = _doctype(html, p, ctx.codec)
                 yield t
             elif c == 33 and ctx.cdata and html.startswith(b"[CDATA[", p + 2):
                 at = p + 9
+                ctx.in_cdata = in_cdata = True
+                ctx.label = "CDataSection"
                 yield Token("raw", p, at)
-                in_cdata, ctx.label = True, "CDataSection"
             else:
                 s = p + 2 if c == 33 else p + 1
                 e = html.find(b">", s)
                 at = n if e < 0 else e + 1
-                yield Token("comment", p, at, text=html[s : n if e < 0 else e])
+                yield Token("comment", p, at, text=html[s : n if e < 0 else e], codec=ctx.codec)
             run, run_label = at, ctx.label
             continue
         else:
             at = p + 1  # a plain <
             continue
-        t, end, missing = _tag(html, p, name_at, closing)
+        t, end, missing = _tag(html, p, name_at, closing, ctx.codec)
+        if t is None and not final:
+            if t := hold(p):
+                yield t
+            return
         if (before := text(p)) is not None:
             yield before
         if t is None:
             yield Token("raw", p, n)
             return
+        t.codec = ctx.codec
         if closing:
             ctx.end_tag(t.name)
         else:
             ctx.start_tag(t)
             if missing:
                 ctx.mode = "Data"
+            if ctx.adjust and t.name == "meta" and (found := declared_in([(a.name, a.value) for a in t.attrs])):
+                ctx.codec, ctx.adjust = Codec(found), False  # from the tag's end on
         at = run = end
         run_label = ctx.label
         yield t
     if t := text(n):
         yield t
+
+
+def _complete(html: bytes, p: int, ctx: Context) -> bool:
+    """Whether the markup at ``p``, of a document that goes on, is there as a whole; tags are tried elsewhere."""
+    rest = html[p + 1 : p + 9]
+    if not rest or (rest == b"/"):
+        return False
+    if rest[0] == 33:  # !
+        if rest[1:3] == b"--":
+            m = _COMMENT_END.search(html, p + 4)
+            return bool(m) or html.startswith((b">", b"->"), p + 4)
+        for word in (b"--", b"doctype", b"[cdata["):
+            if len(html) - p - 2 < len(word) and word.startswith(html[p + 2 :].lower()):
+                return False
+        if ctx.cdata and html.startswith(b"[CDATA[", p + 2):
+            return True
+        return html.find(b">", p + 2) >= 0
+    if rest[0] == 63 or (rest[0] == 47 and rest[1] not in _ALPHA):
+        return html.find(b">", p + 1) >= 0
+    return True

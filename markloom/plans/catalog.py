@@ -34,8 +34,7 @@ _LINKS = "unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))"
 
 @query("SELECT page_id, cast(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS n_links FROM pages WHERE len(regexp_extract_all(html, '<a href=')) > 0")
 def links_per_page(spark, sf_dir):
-    found = R.select(pages(spark, sf_dir), "a[href]", ID, columns=("elem_id",))
-    return found.groupBy(ID).agg(F.count("*").alias("n_links"))
+    return R.count_matches(pages(spark, sf_dir), "a[href]", ID).select(ID, F.col("n").alias("n_links"))
 
 
 @query(f"SELECT page_id, {_LINKS} AS href FROM pages")
@@ -109,7 +108,7 @@ def end_tag_histogram(spark, sf_dir):
 
 @query(f"SELECT page_id, cast(len(regexp_extract_all({CLEAN}, '<[a-z]')) AS BIGINT) AS n FROM pages")
 def start_tag_count_star(spark, sf_dir):
-    return R.select(pages(spark, sf_dir), "*", ID, columns=()).groupBy(ID).agg(F.count("*").alias("n"))
+    return R.count_matches(pages(spark, sf_dir), "*", ID).select(ID, "n")
 
 
 @query("SELECT page_id, unnest(regexp_extract_all(html, '<!--(.*?)-->', 1)) AS comment FROM pages")
@@ -135,12 +134,12 @@ def not_ad_divs(spark, sf_dir):
 
 @query("SELECT page_id, cast(1 AS BIGINT) AS n FROM pages WHERE contains(html, '<p>')")
 def child_p(spark, sf_dir):
-    return R.select(pages(spark, sf_dir), "article > p", ID, columns=()).groupBy(ID).agg(F.count("*").alias("n"))
+    return R.count_matches(pages(spark, sf_dir), "article > p", ID).select(ID, "n")
 
 
 @query("SELECT page_id, cast(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS n FROM pages WHERE contains(html, '<p>')")
 def descendant_p(spark, sf_dir):
-    return R.select(pages(spark, sf_dir), "article p", ID, columns=()).groupBy(ID).agg(F.count("*").alias("n"))
+    return R.count_matches(pages(spark, sf_dir), "article p", ID).select(ID, "n")
 
 
 _ITEMS = "regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)', 1)"
@@ -188,8 +187,7 @@ def style_bodies(spark, sf_dir):
     ") WHERE n > 0 GROUP BY ALL"
 )
 def text_by_type(spark, sf_dir):
-    found = R.tokens(pages(spark, sf_dir), ID, kinds=("text",), columns=("text", "text_type"))
-    return found.groupBy(ID, "text_type").agg(F.sum(F.length("text")).alias("chars"))
+    return R.text_sizes(pages(spark, sf_dir), ID)
 
 
 @query("SELECT page_id, unnest(['html', 'body']) AS name FROM pages WHERE NOT contains(html, '</html>')")

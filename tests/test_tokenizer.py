@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from markloom.operators.tokenizer import AmbiguityError, Context, scan, tokenize
+from markloom.operators.tokenizer import AmbiguityError, Context, MemoryLimitError, Stack, scan, tokenize
 
 PIECES = ["<", "</", "!--", "-->", "<script>", "</script>", "<title>", "</title>", "<svg>", "</svg>", "<math>", " ", "a", "=", '"', "'", "/>", ">", "<![CDATA[", "]]>", "<!DOCTYPE", "é", "<p", "x=y", "<br/>", "?", "<desc>", "<style>", "<plaintext>"]
 
@@ -55,8 +55,9 @@ def test_attributes_keep_duplicates_and_case():
 
 
 def test_no_implied_end_tags():
+    around = [t.anc for t in tokenize(b"<div><p>a<p>b</div></p>")]
     found = list(tokenize(b"<div><p>a<p>b</div></p>"))
-    assert found[3].anc == (0, 1) and found[5].popped == (0, 1, 2) and found[6].popped == ()
+    assert around[3] == (0, 1) and (found[3].parent, found[3].depth) == (1, 2) and found[5].popped == (0, 1, 2) and found[6].popped == ()
     assert found[0].close_tok == found[1].close_tok == 5
 
 
@@ -70,3 +71,38 @@ def test_ambiguity(html):
 def test_namespaces():
     found = {t.name: t.ns for t in tokenize(b"<svg><desc><b></b></desc><circle/></svg><math><mi><i></i></mi></math><p>") if t.kind == "start_tag"}
     assert found == {"svg": "svg", "desc": "html", "b": "html", "circle": "svg", "math": "mathml", "mi": "html", "i": "html", "p": "html"}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*PIECES, "--!>", "b c", "-"]), max_size=25), st.lists(st.integers(1, 9), min_size=1, max_size=9))
+def test_pieces_give_the_tokens_of_the_whole(parts, sizes):
+    html, at, rest, got, ctx, k = "".join(parts).encode(), 0, b"", [], Context(strict=False), 0
+    while True:
+        final = at >= len(html)
+        data = rest + html[at : at + sizes[k % len(sizes)]]
+        at, k = at + sizes[k % len(sizes)], k + 1
+        for t in scan(data, ctx, final):
+            if got and got[-1][0] == "text" == t.kind and got[-1][-1]:
+                got[-1] = ("text", None, got[-1][2] + t.text, t.text_type, got[-1][4] + data[t.start : t.end], t.partial)
+            else:
+                got.append((t.kind, t.name, t.text, t.text_type, data[t.start : t.end], t.partial))
+        rest = data[ctx.held :]
+        if final:
+            break
+    assert [x[:5] for x in got] == [(t.kind, t.name, t.text, t.text_type, html[t.start : t.end]) for t in scan(html, Context(strict=False))]
+
+
+def test_depth_needs_linear_memory():
+    import tracemalloc
+
+    def peak(n):
+        tracemalloc.start()
+        assert sum(1 for _ in tokenize(b"<p>a" * n, stack=Stack(closes=False))) == 2 * n
+        out = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out
+
+    assert peak(60_000) < 2.6 * peak(30_000) and peak(30_000) < 30_000 * 700
+    with pytest.raises(MemoryLimitError):
+        list(tokenize(b"<p>" * 17, stack=Stack(limit=4096)))
+    assert len(list(tokenize(b"<p>" * 16, stack=Stack(limit=4096)))) == 16
