@@ -584,9 +584,7 @@ class Rewriter:
     def _step(self, t: Token) -> None:
         raw = self._data[t.start : t.end]
         if self._base:
-            t.start, t.end = t.start + self._base, t.end + self._base
-            for a in t.attrs or ():
-                a.name_start, a.value_start = a.name_start + self._base, a.value_start + self._base
+            t.start, t.end, t.base = t.start + self._base, t.end + self._base, self._base
         if t.kind != "text" and self._open_text is not None:
             self._last_text()
         if t.kind == "start_tag":
@@ -633,6 +631,7 @@ class Rewriter:
                     self.hidden.add(t.elem_id)
                 if element._end_edited or element._handlers:
                     self.edited[t.elem_id] = element
+                    t.attrs  # taken apart now: an open element shouldn't keep the bytes around its tag
         else:
             self._emit(raw)
         if t.content and found:

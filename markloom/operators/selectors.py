@@ -375,6 +375,12 @@ class Matcher:
                     if k == len(chain) - 1:
                         self.nodes[found][2].add(i)
                     level = self.nodes[found][1]
+        # roots by the type they ask for, so that most tags are looked at by none
+        self.typed: dict[str, list[int]] = {}
+        self.untyped: list[int] = []
+        for n in self.roots:
+            name = next((t.name for t in self.nodes[n][0].tests if t.what == "type" and not t.negated), None)
+            (self.untyped if name is None else self.typed.setdefault(name, [])).append(n)
         self.children: list[tuple[int, ...]] = [()]
         self.below: list[frozenset[int]] = [frozenset()]
 
@@ -383,7 +389,12 @@ class Matcher:
         found: set[int] = set()
         children: list[int] = []
         below: set[int] = set()
-        for n in {*self.roots, *self.children[-1], *self.below[-1]}:
+        wanted = self.typed.get(t.name, ())
+        if self.children[-1] or self.below[-1]:
+            wanted = {*wanted, *self.untyped, *self.children[-1], *self.below[-1]}
+        elif self.untyped:
+            wanted = [*wanted, *self.untyped]
+        for n in wanted:
             compound, then, ids = self.nodes[n]
             if all(holds(x, t) for x in compound.tests):
                 found |= ids
@@ -395,7 +406,7 @@ class Matcher:
         if t.content:
             self.children.append(tuple(children))
             self.below.append(self.below[-1] | below if below else self.below[-1])
-        return sorted(found)
+        return sorted(found) if found else []
 
     def end_tag(self, t) -> None:
         if t.popped:

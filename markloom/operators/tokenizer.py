@@ -7,6 +7,9 @@ nothing. Character references stay as they are, duplicate attributes are kept, e
 A document may come in pieces: ``scan`` with ``final=False`` stops before what the next bytes could change and leaves its
 place in the context. Memory is linear in a document's depth: a token knows its depth and parent, and the whole path to it
 only while it is the current one.
+
+Tags are scanned, not lexed: one pattern finds a tag's end, and its attributes are taken apart when they are first asked for.
+So what looks at names only never pays for attributes.
 """
 
 from __future__ import annotations
@@ -24,6 +27,12 @@ _ATTR = re.compile(rb"=?[^ \n\r\t\x0c/>=]*")
 _EQUALS = re.compile(rb"[ \n\r\t\x0c]*=[ \n\r\t\x0c]*")
 _BARE = re.compile(rb"[^ \n\r\t\x0c>]*")
 _BLANKS = re.compile(rb"[ \n\r\t\x0c]*")
+#: From a tag's name to its end: attributes, the group that is set if the last one's value is missing, and what is before >.
+_REST = re.compile(
+    rb"(?:[ \n\r\t\x0c/]*+(?!>)=?+[^ \n\r\t\x0c/>=]*+"
+    rb"(?:[ \n\r\t\x0c]*+=[ \n\r\t\x0c]*+(?:\"[^\"]*+\"|'[^']*+'|(?=>)()|[^ \n\r\t\x0c>\"'][^ \n\r\t\x0c>]*+)|(?![ \n\r\t\x0c]*+=)))*+"
+    rb"([ \n\r\t\x0c/]*+)>"
+)
 _COMMENT_END = re.compile(rb"--!?>")
 _COMMENT_CUT = re.compile(rb"(?:--!?|-)\Z")
 _SCRIPT = re.compile(rb"<(?:/script(?=[ \n\r\t\x0c/>])|!--)", re.I)
@@ -45,11 +54,19 @@ NAMESPACES = {"html": "http://www.w3.org/1999/xhtml", "svg": "http://www.w3.org/
 
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
+_names: dict[bytes, str] = {}
 
 
 def lower(name: bytes, codec: Codec = UTF8) -> str:
     """A name in lower case, A-Z only, decoded."""
-    return name.lower().decode() if name.isascii() else codec.decode(name).translate(_LOWER)
+    found = _names.get(name)
+    if found is None:
+        if not name.isascii():
+            return codec.decode(name).translate(_LOWER)
+        if len(_names) > 4096:
+            _names.clear()
+        found = _names[name] = name.lower().decode()
+    return found
 
 
 class AmbiguityError(ValueError):
@@ -79,7 +96,9 @@ class Token:
     name_raw: bytes | None = None
     ns: str | None = None
     self_closing: bool | None = None
-    attrs: list[Attribute] | None = None
+    lexed: list[Attribute] | None = None  # of a start tag, once asked for; before, the bytes they are in
+    source: bytes | None = field(default=None, repr=False)
+    base: int = 0  # what was given out of the document before ``source``
     text: bytes | None = None
     text_type: str | None = None
     doctype: tuple[str | None, str | None, str | None, bool] | None = None
@@ -89,17 +108,26 @@ class Token:
     elem_id: int | None = None
     parent: int | None = None
     depth: int = 0
-    open: list[int] = field(default_factory=list, repr=False)  # the live stack's ids
+    open: list[int] | None = field(default=None, repr=False)  # the live stack's ids
     popped: tuple[int, ...] | None = None
     nth_child: int | None = None
     nth_of_type: int | None = None
     content: bool | None = None
     close_tok: int | None = None
 
+    @property
+    def attrs(self) -> list[Attribute] | None:
+        """A start tag's attributes."""
+        if self.lexed is None and self.source is not None:
+            at = self.start - self.base
+            self.lexed = _attributes(self.source, at + 1 + len(self.name_raw), self.codec, self.base)
+            self.source = None
+        return self.lexed
+
     @property
     def anc(self) -> tuple[int, ...]:
         """Ids of the elements around this token; true until the next token is asked for."""
-        return tuple(self.open[: self.depth])
+        return tuple(self.open[: self.depth]) if self.open else ()
 
     @property
     def said(self) -> str | None:
@@ -279,53 +307,49 @@ class Stack:
 
 def _tag(html: bytes, at: int, name_at: int, closing: bool, codec: Codec) -> tuple[Token | None, int, bool]:
     """(token, end, value missing) of a tag; no token if it is cut off."""
-    m = _NAME.match(html, name_at)
-    raw = m[0]
-    p, n, attrs, missing = m.end(), len(html), [], False
+    raw = _NAME.match(html, name_at)[0]
+    p = name_at + len(raw)
+    if html[p : p + 1] == b">":
+        end, closed, missing = p + 1, False, False
+    elif m := _REST.match(html, p):
+        end, missing = m.end(), m[1] is not None
+        closed = not missing and m[2].endswith(b"/")
+    else:
+        return None, len(html), False
+    t = Token("end_tag" if closing else "start_tag", at, end, lower(raw, codec), raw, codec=codec)
+    if not closing:
+        t.self_closing, t.source = closed, html
+    return t, end, missing
+
+
+def _attributes(html: bytes, p: int, codec: Codec, base: int) -> list[Attribute]:
+    """The attributes of a whole tag whose name ends at ``p``."""
+    attrs = []
     while True:
         gap = _GAP.match(html, p).end()
-        if gap >= n:
-            return None, n, False
         if html[gap] == 62:  # >
-            closed = gap > p and html[gap - 1] == 47
-            p = gap
-            break
-        m = _ATTR.match(html, gap)
-        name_end = m.end()
+            return attrs
+        name_end = _ATTR.match(html, gap).end()
         eq = _EQUALS.match(html, name_end)
+        missing = False
         if not eq:
-            p = name_end
-            if p >= n:
-                return None, n, False
-            v0 = v1 = raw_end = name_end
+            p = v0 = v1 = raw_end = name_end
         else:
             p = eq.end()
-            if p >= n:
-                return None, n, False
             c = html[p]
             if c == 62:
                 v0 = v1 = raw_end = p
                 missing = True
             elif c in b"\"'":
                 v0, v1 = p + 1, html.find(html[p : p + 1], p + 1)
-                if v1 < 0:
-                    return None, n, False
                 p = raw_end = v1 + 1
             else:
                 v0, v1 = p, _BARE.match(html, p).end()
                 p = raw_end = v1
-                if p >= n:
-                    return None, n, False
-        if not closing:
-            shown = html[gap:name_end]
-            attrs.append(Attribute(lower(shown, codec), codec.decode(shown), codec.decode(html[v0:v1]), html[gap:raw_end], gap, v0))
+        shown = html[gap:name_end]
+        attrs.append(Attribute(lower(shown, codec), codec.decode(shown), codec.decode(html[v0:v1]), html[gap:raw_end], base + gap, base + v0))
         if missing:
-            closed = False
-            break
-    t = Token("end_tag" if closing else "start_tag", at, p + 1, lower(raw, codec), raw)
-    if not closing:
-        t.attrs, t.self_closing = attrs, closed
-    return t, p + 1, missing
+            return attrs
 
 
 def _doctype(html: bytes, at: int, codec: Codec) -> tuple[Token, int]:
@@ -559,7 +583,6 @@ def scan(html: bytes, ctx: Context, final: bool = True) -> Iterator[Token]:
         if t is None:
             yield Token("raw", p, n)
             return
-        t.codec = ctx.codec
         if closing:
             ctx.end_tag(t.name)
         else:
