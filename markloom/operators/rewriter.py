@@ -512,6 +512,9 @@ class Rewriter:
     def end(self) -> bytes:
         return self._take(self._held, True)
 
+    def _open_bytes(self) -> int:
+        return len(self.stack.ids) * STACK_ITEM if self.how.selected else 0
+
     def _emit(self, data: bytes) -> None:
         if data and not self.hidden:
             self._out.append(data)
@@ -528,6 +531,8 @@ class Rewriter:
         self._out, self._at, self._data = [], 0, data
         limits = self.options
         try:
+            if limits.max_memory is not None and self._held and len(data) + self._open_bytes() > limits.max_memory and not final:
+                raise MemoryLimitError(f"what is held of the document needs more than {limits.max_memory} bytes")
             if limits.max_bytes is not None and self._base + len(data) > limits.max_bytes:
                 raise MemoryLimitError(f"the document has more than {limits.max_bytes} bytes")
             for t in placed(scan(data, self.context, final), self.stack):
@@ -536,7 +541,7 @@ class Rewriter:
                 self._at = end
             self._held = data[self.context.held :] if not final else b""
             self._base += len(data) - len(self._held)
-            if limits.max_memory is not None and self._held and len(self._held) + (len(self.stack.ids) * STACK_ITEM if self.how.selected else 0) > limits.max_memory:
+            if limits.max_memory is not None and self._held and len(self._held) + self._open_bytes() > limits.max_memory:
                 self._at = len(data) - len(self._held)
                 raise MemoryLimitError(f"what is held of the document needs more than {limits.max_memory} bytes")
             if final:
@@ -704,8 +709,9 @@ def rewrite(
                         bad = ("UnknownEncoding", f"{own.encoding!r} is unknown or isn't a superset of ASCII")
                     else:
                         data = doc.encode("utf-8", "replace") if is_text else doc
-                        out, name, bad = rewrite_bytes(data, shared or how(), own, graceful, is_text)
-                        if bad and not (graceful is True or graceful == ("memory" if bad[0] == "MemoryLimitExceeded" else "handlers")):
+                        r = Rewriter(shared or how(), own, graceful, is_text)
+                        out, name, bad = r._take(data, True), r.context.codec.name, r.error
+                        if bad and not r.passing:
                             out = None
                 outs.append(out.decode("utf-8", "replace") if is_text and out is not None else out)
                 names.append(name), errors.append({"kind": bad[0], "message": bad[1]} if bad else None)

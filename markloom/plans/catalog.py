@@ -127,9 +127,12 @@ def class_ad_text(spark, sf_dir):
     return _texts(spark, sf_dir, "div.ad", "ad")
 
 
-@query("SELECT page_id FROM pages WHERE regexp_matches(html, '<div>') OR regexp_matches(html, '<div class=\"[^a]')")
-def not_ad_divs(spark, sf_dir):
-    return R.select(pages(spark, sf_dir), "div:not(.ad)", ID, columns=()).select(ID)
+@query(
+    "SELECT page_id, name, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<(script|style)>.*?</(script|style)>', '', 'g'), '<(nav|ul|li|h1|footer)>', 1)) AS name FROM pages) GROUP BY ALL"
+)
+def not_ad_blocks(spark, sf_dir):
+    found = R.select(pages(spark, sf_dir), ":not(.ad):not(a, p, b, br, html, head, body):not(meta, title, style, script, article)", ID, columns=("name",))
+    return found.groupBy(ID, "name").agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id, cast(1 AS BIGINT) AS n FROM pages WHERE contains(html, '<p>')")
@@ -275,7 +278,14 @@ def _numbered_links() -> Rewriting:
     return Rewriting().on("nav a", element=link)
 
 
-@query()
+_PLAIN = "regexp_extract(html, '(?s)^(.*?)<nav>', 1)"
+_NAV = "string_split(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href=')"
+
+
+@query(
+    f"SELECT page_id, {_PLAIN} || '<nav>' || {_NAV}[1] || array_to_string(list_transform({_NAV}[2:], lambda x, i: '<a href=' || regexp_replace(x, '^(\"[^\"]*\")', '\\1 data-n=\"' || i || '\"')), '')"
+    " || '</nav>' || regexp_extract(html, '(?s)</nav>(.*)$', 1) AS html_out FROM pages"
+)
 def callback_numbered_links(spark, sf_dir):
     return rewrite(pages(spark, sf_dir), _numbered_links, ID).select(ID, "html_out")
 
@@ -284,3 +294,9 @@ def callback_numbered_links(spark, sf_dir):
 def escapes(spark, sf_dir):
     body = F.replace(F.replace(F.replace("html", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     return pages(spark, sf_dir).select(ID, body.alias("body"), F.replace("html", F.lit('"'), F.lit("&quot;")).alias("attribute"))
+
+
+from . import cases  # noqa: E402
+
+QUERIES |= cases.QUERIES
+ORACLES |= cases.ORACLES
