@@ -46,7 +46,7 @@ OTHER, BLANK = 1, 2
 COUNT, OWNER = 29, 32
 _STATE = (1 << COUNT) - 1
 #: Texts and characters of a slice at most; below so many lanes, texts are finished one by one.
-SLICE, SLICE_CHARS, FEW = 2000, 8_000_000, 48
+SLICE, SLICE_CHARS, FEW = 1000, 2_000_000, 48
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -147,7 +147,7 @@ class Model:
     def lookup(self) -> np.ndarray:
         found = self.__dict__.get("_lookup")
         if found is None:
-            found = _classes().astype(np.int32)
+            found = _classes().astype(np.uint16 if len(self.alphabet) < 65_000 else np.int32)
             for k, ch in enumerate(self.alphabet):
                 found[ord(ch)] = 3 + k
             self.__dict__["_lookup"] = found
@@ -369,9 +369,7 @@ def keep_identified(df: DataFrame, model: Model, text: str = "text", lang: str =
     fill = df.columns.index(lang) if lang in df.columns and df.schema[lang].dataType.simpleString() == "string" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             keep, named = shared.value.known(batch.column(at))
             if fill is not None:
                 batch = batch.set_column(fill, batch.schema.field(fill), pc.coalesce(batch.column(fill), pa.array(named, batch.column(fill).type)))

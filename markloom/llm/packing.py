@@ -3,7 +3,7 @@
 1. One Arrow pass tokenizes the whole texts and cuts each document into pieces: full sequences, and a rest. Pieces carry
    the checksum of their ids; ids themselves are shuffled only if asked for. The pieces are written to the shared folder, each with a
    random number, so that later stages see the same groups however often a task runs again.
-2. Pieces are dealt by that number to groups of about GROUP pieces. Each group is packed on its own: pieces in order of
+2. Pieces are dealt by that number to groups of about GROUP pieces, or half as many with their ids. Each group is packed on its own: pieces in order of
    decreasing length go to the first bin with room, which a tournament tree of bin capacities finds in log time. With
    ids, sequences are filled, and ids and checksums are read back from them.
 Groups are of bounded size at any input size; the padding is that of first-fit decreasing plus one open bin a group.
@@ -145,7 +145,7 @@ def _pieces(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
         deal = random.Random()
-        for batch in batches:
+        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             which, rows = [], []
             for k, ids in enumerate(words.documents(batch.column(1))):
                 n = len(ids) // 4
@@ -232,7 +232,7 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", w
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     made = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, deal long, ids binary"
     pieces = scratch.write(texts.mapInArrow(_pieces(path, with_ids), made), "pieces")
-    groups = max(1, round(pieces.count() / GROUP))
+    groups = max(1, round(pieces.count() / (GROUP // 2 if with_ids else GROUP)))  # ids need memory
     dealt = pieces.withColumn("group", F.pmod("deal", F.lit(groups)))
     out = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
     packed = dealt.groupBy("group").applyInArrow(_pack, out)

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 SHINGLE = 5
-_CACHE_MAX = 500_000
+_CACHE_MAX = 200_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
