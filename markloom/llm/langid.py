@@ -13,7 +13,7 @@ TOTAL_CHARS characters in all, every language gets the same smaller number of ro
 below about 40 * TOTAL_CHARS bytes. More than LANGUAGES different labels raise ValueError: they are no languages.
 
 Prediction, on the executors: whole texts as letters and single spaces, many texts and all languages side by side with
-array operations, one character a step; the few longest texts of a slice are finished one by one from where they stand.
+array operations, one character a step; texts follow each other in lanes of equal length, and very long ones go alone.
 Nothing but the text is used.
 
 The pipeline keeps texts that cost at most MARGIN times the bits a character that all but the costliest pieces of their
@@ -26,6 +26,7 @@ results are ``und``. Other columns are ignored; repeated rows give repeated resu
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -45,8 +46,8 @@ OTHER, BLANK = 1, 2
 #: A transition's count of phrases that end stands above its state; the state that owns a cell above that.
 COUNT, OWNER = 29, 32
 _STATE = (1 << COUNT) - 1
-#: Texts and characters of a slice at most; below so many lanes, texts are finished one by one.
-SLICE, SLICE_CHARS, FEW = 1000, 2_000_000, 48
+#: Texts and characters of a slice, about; lanes times languages at most; where a text would have fewer, it is parsed alone.
+SLICE, SLICE_CHARS, LANES, FEW = 4000, 8_000_000, 16_384, 100
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -170,44 +171,75 @@ class Model:
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (rows) by each language (columns)."""
         out = np.zeros((len(texts), len(self.languages)), np.int64)
-        lanes = max(1, 16_384 // len(self.languages))
-        order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
-        for i in range(0, len(order), lanes):
-            part = order[i : i + lanes]
-            out[part] = self._side_by_side([texts[k] for k in part]).T
+        order = sorted((k for k in range(len(texts)) if len(texts[k])), key=lambda k: -len(texts[k]))
+        left = sum(len(texts[k]) for k in order)
+        while order and left // len(texts[order[0]]) * len(self.languages) < FEW:  # too long to have others beside it
+            k = order.pop(0)
+            left -= len(texts[k])
+            out[k] = self._alone(texts[k])
+        if order:
+            out[order] = self._side_by_side([texts[k] for k in order])
         return out
 
+    def _alone(self, text: np.ndarray) -> list[int]:
+        found, letters = [], text.tolist()
+        for base, cells, root in self.tables:
+            base, cells, root = memoryview(base), memoryview(cells), memoryview(root)
+            state = count = 0
+            for c in letters:
+                cell = cells[base[state] + c]
+                got = cell & 0xFFFFFFFF if cell >> OWNER == state else root[c]
+                count += got >> COUNT
+                state = got & _STATE
+            found.append(count + (state > 0))
+        return found
+
     def _side_by_side(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases by language (rows) of texts from the longest to the shortest (columns)."""
+        """Phrases of texts (rows, from the longest to the shortest) by language (columns).
+
+        Lanes of about equal length hold one text after another, each with OTHER behind it: a letter that no sample has
+        ends the open phrase and is one itself, so the next text starts at the root, and counts read there are one too high.
+        """
         base, cells, root, first = self.joined
-        flat = np.concatenate(texts) if texts else np.zeros(0, np.int32)
-        sizes = np.array([len(t) for t in texts])
-        at = np.concatenate(([0], sizes.cumsum()[:-1]))
-        state, count = np.zeros((len(first), len(texts)), np.int64), np.zeros((len(first), len(texts)), np.int64)
-        first, active, step = first[:, None], len(texts), 0
-        ends = sizes[::-1]  # ascending
-        while True:
-            active = len(texts) - int(np.searchsorted(ends, step, "right"))
-            if active * len(first) < FEW:
-                break
-            c = flat[at[:active] + step]
-            now = state[:, :active]
-            cell = cells[base[now + first] + c]
-            got = np.where(cell >> OWNER == now, cell & 0xFFFFFFFF, root[:, c])
-            count[:, :active] += got >> COUNT
-            np.bitwise_and(got, _STATE, out=now)
-            step += 1
-        for k in range(active):
-            for n, (b, cs, r) in enumerate(self.tables):
-                b, cs, r = memoryview(b), memoryview(cs), memoryview(r)
-                s, m = int(state[n, k]), 0
-                for c in texts[k][step:].tolist():
-                    cell = cs[b[s] + c]
-                    got = cell & 0xFFFFFFFF if cell >> OWNER == s else r[c]
-                    m += got >> COUNT
-                    s = got & _STATE
-                state[n, k], count[n, k] = s, count[n, k] + m
-        return count + (state > 0)
+        n, total = len(first), sum(map(len, texts))
+        lanes = max(1, min(len(texts), LANES // n, total // len(texts[0])))
+        fill = [(0, k) for k in range(lanes)]
+        spots = []
+        for t in texts:
+            length, lane = fill[0]
+            spots.append((lane, length))
+            heapq.heapreplace(fill, (length + len(t) + 1, lane))
+        letters = np.full((max(fill)[0], lanes), OTHER, texts[0].dtype)
+        ends: dict[int, list[tuple[int, int]]] = {}
+        for k, (t, (lane, at)) in enumerate(zip(texts, spots, strict=True)):
+            letters[at : at + len(t), lane] = t
+            ends.setdefault(at + len(t), []).append((k, lane))
+        width, shape = root.shape[1], (n, lanes)
+        root = root.ravel()
+        rows = np.arange(n)[:, None] * width
+        first = np.broadcast_to(first[:, None], shape).copy()
+        state, count, begun = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros((lanes, n), np.int64)
+        place, cell, owner, new, hit = np.empty(shape, np.int64), np.empty(shape, np.int64), np.empty(shape, np.int64), np.empty(shape, np.int64), np.empty(shape, bool)
+        out = np.zeros((len(texts), n), np.int64)
+        for step in range(len(letters)):
+            c = letters[step]
+            np.add(state, first, out=place)
+            base.take(place, out=new, mode="clip")
+            np.add(new, c, out=place)
+            cells.take(place, out=cell, mode="clip")
+            np.right_shift(cell, OWNER, out=owner)
+            np.equal(owner, state, out=hit)
+            np.bitwise_and(cell, 0xFFFFFFFF, out=cell)
+            np.add(rows, c, out=place)
+            root.take(place, out=new, mode="clip")
+            np.copyto(new, cell, where=hit)
+            np.right_shift(new, COUNT, out=owner)
+            np.add(count, owner, out=count)
+            np.bitwise_and(new, _STATE, out=state)
+            for k, lane in ends.get(step, ()):
+                out[k] = count[:, lane] - begun[lane] - 1
+                begun[lane] = count[:, lane]
+        return out
 
     def slices(self, texts: pa.Array) -> Iterator[list[str | None]]:
         """At most SLICE texts and about SLICE_CHARS characters at a time."""

@@ -46,6 +46,18 @@ def test_phrases_of_long_texts_against_brute_force():
     assert model.phrases([model.codes(texts[0])])[0, 0] == 1  # one phrase, however long
 
 
+@pytest.mark.parametrize("few", [0, 8, 1_000_000])
+def test_phrases_of_texts_that_share_lanes(monkeypatch, few):
+    samples = {k: " ".join(R.choices(WORDS[k], k=100)) for k in WORDS}
+    model = langid.fit({k: [t] for k, t in samples.items()})
+    monkeypatch.setattr(langid, "FEW", few)
+    monkeypatch.setattr(langid, "LANES", 14)
+    sizes = [300, 0, 1, 40, 41, 40, 2, 90] + [R.randint(0, 30) for _ in range(60)]
+    texts = [" ".join(R.choices(WORDS[R.choice("aa bb".split())], k=n)) for n in sizes] + ["", "q", "q q", "a", samples["bb"]]
+    assert model.phrases([model.codes(t) for t in texts]).tolist() == [[parsed(t, samples[k]) for k in model.languages] for t in texts]
+    assert model.phrases([]).shape == (0, 2) and model.phrases([model.codes("")]).tolist() == [[0, 0]]
+
+
 def test_all_letters_are_learned():
     han = [chr(0x4E00 + k) for k in range(3000)]
     han_text = lambda: "".join(R.choices(han, k=4000))
