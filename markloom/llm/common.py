@@ -1,10 +1,16 @@
-"""What the operators of this subpackage share: tables, the shared folder, written intermediate tables."""
+"""What the operators of this subpackage share: tables, the shared folder, written intermediate tables, memory of workers."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
+import time
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +61,50 @@ class Scratch:
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Seconds between releases inside a task; bytes of a group above which one follows it.
+EVERY, LARGE = 1.0, 1 << 23
+
+
+def release() -> None:
+    """Gives freed memory, which Arrow's pool and the C library keep for later use, back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(run: Callable) -> Callable:
+    """``run`` over batches, with releases on the way and at its end: Spark keeps idle workers beside the stages that follow."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = time.monotonic()
+        try:
+            for out in run(batches):
+                yield out
+                del out
+                if time.monotonic() - last > EVERY:
+                    release()
+                    last = time.monotonic()
+        finally:
+            release()
+
+    return whole
+
+
+def released_group(run: Callable) -> Callable:
+    """``run`` over one group, with a release after a large one."""
+
+    @wraps(run)
+    def whole(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            if table.nbytes > LARGE:
+                release()
+
+    return whole
+
+
 #: A key with more rows than PART is split; so is at most every key with a HOT-th of all rows, which bounds their number.
 PART, HOT = 1000, 100_000
 

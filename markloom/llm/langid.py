@@ -38,6 +38,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 ROWS, PIECE_CHARS, TOTAL_CHARS, LANGUAGES = 120, 1000, 12_000_000, 10_000
 UNKNOWN = "und"
 #: Calibration: characters of a piece, the share of pieces taken as typical, what a text may cost as a multiple of those.
@@ -367,6 +369,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     kind = df.schema[id_col].dataType.simpleString()
     shared = spark.sparkContext.broadcast(model)  # bounded by TOTAL_CHARS
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -400,6 +403,7 @@ def keep_identified(df: DataFrame, model: Model, text: str = "text", lang: str =
     at = df.columns.index(text)
     fill = df.columns.index(lang) if lang in df.columns and df.schema[lang].dataType.simpleString() == "string" else None
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             keep, named = shared.value.known(batch.column(at))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, salted_join
+from .common import Scratch, released, released_group, salted_join
 from .components import components
 from .shingles import mix, shingle_set
 
@@ -71,6 +71,7 @@ def _band_keys(least: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+@released
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, key, bands, sig = [], [], [], []
@@ -90,12 +91,14 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@released
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(x.as_py()).tobytes() for x in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
 
 
+@released
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, sig_a, sig_b): pairs whose signatures agree enough."""
     for batch in batches:
@@ -106,6 +109,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(percent: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(u, v, shingles_u, shingles_v): pairs with 100 * intersection >= percent * union."""
         for batch in batches:
@@ -123,6 +127,7 @@ def _linked(percent: int):
 
 
 def _across(percent: int):
+    @released_group
     def run(table: pa.Table) -> pa.Table:
         """(id, c, rest, shingles) of a tile: links between rows of ``rest`` and others of different components.
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, released, released_group
 
 LENGTH, END, GROUP = 4096, 2, 8192
 #: Words whose ids a worker keeps in each of two generations, about.
@@ -142,6 +142,7 @@ def word_ids(path: str) -> WordIds:
 
 
 def _pieces(path: str, with_ids: bool):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
         deal = random.Random()
@@ -194,6 +195,7 @@ def first_fit_decreasing(lengths: list[int], room: int = LENGTH) -> tuple[list[i
     return bins, offsets
 
 
+@released_group
 def _pack(table: pa.Table) -> pa.Table:
     table = table.sort_by([("deal", "ascending"), ("id", "ascending"), ("start", "ascending")])
     bins, offsets = first_fit_decreasing(table.column("length").to_pylist())
